@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,17 +36,19 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(id, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long. Null and empty texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, fp, h0, h1, ...): one row for each row of ``docs``; fp is the fingerprint as a signed long, ``carry`` long columns to keep. Null and empty texts get 0."""
     ship(docs.sparkSession)
+    names = ["id", "fp", *(f"h{i}" for i in range(len(carry)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    schema = ", ".join([f"id {kind}", "fp long", *(f"{n} long" for n in names[2:])])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(c.alias(n) for c, n in zip(carry, names[2:], strict=True))).mapInArrow(run, schema)
 
 
 def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,6 +187,15 @@ def links(fps: DataFrame, budget: int = 4, bucket: int = 512, hot: int = 16_384,
     return tasks.mapInArrow(run, "a long, b long")
 
 
+def _classes(prints: DataFrame, budget: int) -> DataFrame:
+    """(fp, component_id) for every distinct fingerprint of ``prints`` (id, fp)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+    roots = materialize(components(links(distinct.select("fp"), budget)), "roots").withColumnRenamed("node", "fp")
+    firsts = distinct.join(roots, "fp").groupBy("root").agg(F.min("first_id").alias("group_id"))
+    grouped = roots.join(firsts, "root").select("fp", "root", "group_id")
+    return distinct.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("group_id", "first_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, budget: int = 4) -> DataFrame:
     """One row for each row of ``docs``: id, fingerprint (16 hex digits), component_id (smallest id it reaches over links).
 
@@ -193,10 +204,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay repeated. Other columns are not read. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
-    roots = materialize(components(links(distinct.select("fp"), budget)), "roots").withColumnRenamed("node", "fp")
-    joined = distinct.join(roots, "fp")
-    firsts = joined.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    grouped = roots.join(firsts, "root").select("fp", "group_id")
-    classes = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("group_id", "first_id").alias("component_id"))
+    classes = _classes(prints, budget)
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, budget: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest id (null ids last); of rows with that id, one by hash.
+
+    Rows are told apart by two 64-bit hashes of all columns; of wholly equal rows one stays.
+    """
+    every = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+    h = (F.xxhash64(F.lit(1), *(F.coalesce(c, F.lit("\0null")) for c in every)), F.xxhash64(F.lit(2), *(F.coalesce(c, F.lit("\0null")) for c in every)))
+    prints = materialize(fingerprints(docs, id_col, text_col, size, carry=h), "fingerprints")
+    rows = prints.join(_classes(prints.select("id", "fp"), budget), "fp")
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h0", "h1")).alias("best")).select(F.col("best.h0").alias("_h0"), F.col("best.h1").alias("_h1"))
+    found = docs.withColumn("_h0", h[0]).withColumn("_h1", h[1]).join(kept, ["_h0", "_h1"], "left_semi")
+    first = Window.partitionBy("_h0", "_h1").orderBy("_h0")
+    return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_h0", "_h1", "_n")
