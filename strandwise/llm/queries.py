@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, mixing, sharding, simhash, simple8b, toxicity
+from . import decontam, html_text, media, mixing, pii, sharding, simhash, simple8b, toxicity, warc
 from .work import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,10 +33,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.layout(16), sharding.layout(17))
 
@@ -43,7 +55,7 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op3_mixing_curriculum, op4_simple8b_tokens, op5_toxicity, op7_benchmark_decontamination, op9_hash_tree_sharding, op10_png_media)
+    for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_mixing_curriculum, op4_simple8b_tokens, op5_toxicity, op6_line_block_text, op7_benchmark_decontamination, op8_warc_index, op9_hash_tree_sharding, op10_png_media)
 }
 
 ORACLE_SQL: dict[str, str] = {}
