@@ -64,7 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     narrow = rows.select("id", "source", "size", "_h", *extra)
     t = table.withColumnRenamed("source", "_source")
     narrow = narrow.join(t, narrow["source"].eqNullSafe(t["_source"])).drop("_source", "source")
-    counted = numbered(narrow, ["place"], "_h", ["id", "size"], weight="size", rows_per_bucket=4_000 if whole_rows else 50_000, rows=sizes.count())
+    counted = numbered(narrow, ["place"], "_h", ["id", "size"], weight="size", max_bucket=4_000 if whole_rows else None, rows=sizes.count())
     goal, whole = F.round("target").cast("long"), F.col("source_size")
     passes = [goal - whole * k - F.col("before") for k in range(cap)]
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), p)) for p in passes[1:]), F.greatest(F.lit(0), F.least(F.col("size"), passes[0])))

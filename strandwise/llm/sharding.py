@@ -64,15 +64,25 @@ def place(key: Column, tree: list[Leaf]) -> Column:
     return level(live, "", 0)
 
 
-def shard_rows(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, size (UTF-8 bytes plus 1), text_crc32, law ("key"), shard, slot (gapless from 0 in its shard), grown_shard.
+def shard_rows(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """Per row: id, size (UTF-8 bytes plus 1), text_crc32, law ("key"), shard, slot (gapless from 0 in its shard), grown_shard; with ``whole_rows`` also _doc, a struct of the row.
 
     The shard depends on the id and the tree alone; all rows of one id, and all of null id, share a shard. A null text has size 1 and the
     checksum of no bytes. Repeated rows each get a slot of their own. Slots follow a hash order; no task holds a whole shard.
     """
     key = F.col("id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), place(key, tree).alias("shard"), (place(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
-    rows = materialize(rows.withColumn("_h", order_hash(F.col("id"), F.col("text_crc32"))), "shards")
-    out = numbered(rows, ["shard"], "_h", ["id", "text_crc32", "size"])
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    extra = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")] if whole_rows else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
+    extra = ["_doc"] if whole_rows else []
+    rows = rows.select("id", *extra, (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), place(key, tree).alias("shard"), (place(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
+    rows = rows.withColumn("_h", order_hash(F.col("id"), F.col("text_crc32")))
+    rows = rows if whole_rows else materialize(rows, "shards")
+    out = numbered(rows, ["shard"], "_h", ["id", "text_crc32", "size"], max_bucket=4_000 if whole_rows else None)
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", *extra)
+
+
+def sharded(docs: DataFrame, tree: list[Leaf], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the columns shard and slot (which replace columns of those names)."""
+    placed = shard_rows(docs, tree, None, id_col, text_col, whole_rows=True)
+    kept = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*kept, "shard", "slot")
