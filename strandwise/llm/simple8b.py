@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .work import materialize, ship
@@ -23,12 +24,12 @@ MAGIC = b"S8BSEG01"
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(x.shape, np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = x >= (np.uint64(1) << np.uint64(shift))
-        out[big] += np.uint8(shift)
-        x = np.where(big, x >> np.uint64(shift), x)
-    return out + (x > 0)
+    """Bit lengths; exact by the exponent of a double up to 2^53, by the upper half beyond."""
+    out = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+    big = x >= np.uint64(1 << 53)
+    if big.any():
+        out[big] = 32 + np.frexp((x[big] >> np.uint64(32)).astype(np.float64))[1]
+    return out
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,13 +48,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     width = _bits(grid[:, :BLOCK])
     best = np.full((blocks, BLOCK), ESCAPE, np.uint8)
-    for s in [15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 0]:
-        count, bits = SELECTORS[s]
-        over = np.zeros((blocks, BLOCK + 1), np.int32)
+    unset = np.ones((blocks, BLOCK), bool)
+    over = np.zeros((blocks, BLOCK + 1), np.int16)
+    for s, (count, bits) in sorted(enumerate(SELECTORS), key=lambda x: -x[1][0]):
+        if s == ESCAPE:
+            continue
         np.cumsum(width > bits, axis=1, out=over[:, 1:])
-        if not over[:, -1].all() or count < BLOCK:
-            ends = np.minimum(np.arange(BLOCK) + count, BLOCK)
-            best[over[:, ends] == over[:, :BLOCK]] = s
+        fits = np.empty((blocks, BLOCK), bool)
+        fits[:, : BLOCK - count] = over[:, count:BLOCK] == over[:, : BLOCK - count]
+        fits[:, BLOCK - count :] = over[:, BLOCK:] == over[:, BLOCK - count : BLOCK]
+        fits &= unset
+        best[fits] = s
+        unset &= ~fits
+        if not unset.any():
+            break
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = n - (blocks - 1) * BLOCK
     rows, at = np.arange(blocks), np.zeros(blocks, np.int64)
@@ -155,53 +163,114 @@ def read_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [d if k else None for d, k in zip(names.tolist(), known, strict=True)], counts.astype(np.int64), ids
 
 
+#: White space but the line end, which only begins pieces (and a few controls, for which the whole text is encoded without need).
+_SPACE = r"[\t\f\r\v\p{Z}\x{85}\x{1c}-\x{1f}]"
+_MARKS = ".,;:!?"
+
+
 class Encoder:
-    """The tokenizers library with a memory of the pieces between single blanks.
+    """The tokenizers library with a memory of the pieces between single blanks and line ends.
 
-    A blank between two characters that are no white space always begins a new piece of byte-level pre-tokenization, so such a text is
-    encoded piece by piece and each distinct piece once. Other texts (white space next to a blank, special strings) go to the library whole.
+    A blank or line end between two characters that are no white space always begins a new piece of byte-level pre-tokenization, and closing
+    marks after a letter or digit are one of their own, so such a text is its pieces' ids in a row, and each distinct piece is encoded once. Other texts (white space in a
+    row, special strings) go to the library whole. Splitting and finding distinct pieces are Arrow's, putting ids together is numpy's.
     """
 
-    def __init__(self, json: str, entries: int = 1_000_000) -> None:
+    def __init__(self, json: str, entries: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True  # ids that open with a blank or a line end
         self.entries = entries
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.memory: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Many pieces in one call: each is led by its one blank or line end, so its ids begin where an id opens with one."""
+        for at in range(0, len(pieces), 10_000):
+            some = pieces[at : at + 10_000]
+            led = [p if p[0] == "\n" else " " + p for p in some]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(some):
+                raw, ends = ids.tobytes(), (np.append(cuts, len(ids)) * 4).tolist()
+                self.memory.update(zip(some, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+            else:
+                self.memory.update((p, self._ids(t).tobytes()) for p, t in zip(some, led, strict=True))
 
-    def _learn(self, pieces: set[str], memory: dict[str, bytes | None], lead: str) -> None:
-        todo = []
+    def _by_itself(self, pieces: list[str]) -> list[bytes]:
         for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace():
-                memory[p] = None
-            else:
-                todo.append(p)
-        for at in range(0, len(todo), 20_000):
-            some = todo[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch([lead + p for p in some], add_special_tokens=False), strict=True):
-                memory[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first) + len(self.later) > self.entries:
-            self.first, self.later = {}, {}
-        split = [t.split(" ") for t in texts]
-        self._learn({s[0] for s in split}.difference(self.first), self.first, "")
-        new: set[str] = set()
-        for s in split:
-            new.update(s[1:])
-        self._learn(new.difference(self.later), self.later, " ")
-        out = []
-        for text, s in zip(texts, split, strict=True):
-            try:
-                if any(x in text for x in self.special):
-                    raise TypeError
-                out.append(np.frombuffer(self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:])), "<u4"))
-            except TypeError:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
-        return out
+            if p not in self.alone:
+                self.alone[p] = self._ids(p).tobytes()
+        return [self.alone[p] for p in pieces]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        n = len(texts)
+        if not n:
+            return []
+        if len(self.memory) + len(self.alone) > self.entries:
+            self.memory, self.alone = {}, {}
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        codes = split.flatten().dictionary_encode()
+        names, at = codes.dictionary, codes.indices.to_numpy().astype(np.int64)
+        odd = pc.match_substring_regex(names, rf"^\n?$|^\n?{_SPACE}|{_SPACE}$").to_numpy(zero_copy_only=False)
+        stems = pc.utf8_rtrim(names, _MARKS)
+        closed = pc.match_substring_regex(stems, r"[\p{L}\p{N}]$")
+        stems = pc.if_else(closed, stems, names)
+        marked = np.flatnonzero((pc.binary_length(names).to_numpy() > pc.binary_length(stems).to_numpy()) & ~odd)
+        ends_in = pc.replace_substring_regex(names.take(pa.array(marked)), rf"(?s)^.*[^{_MARKS}]", "").dictionary_encode()
+
+        first = split.flatten().take(pa.array(offsets[:-1]))
+        later = np.ones(len(at), bool)
+        later[offsets[:-1]] = False
+        needed = np.zeros(len(names), bool)
+        needed[at[later]] = True
+        kinds = pc.if_else(pa.array(needed & ~odd), stems, pa.scalar(" ")).dictionary_encode()
+        stem_names, stem_of = kinds.dictionary.to_numpy(zero_copy_only=False).tolist(), kinds.indices.to_numpy().astype(np.int64)
+        self.memory[" "] = b""
+        known = list(map(self.memory.get, stem_names))
+        missing = [i for i, k in enumerate(known) if k is None]
+        if missing:
+            self._learn([stem_names[i] for i in missing])
+            for i in missing:
+                known[i] = self.memory[stem_names[i]]
+
+        first_odd = odd[at[offsets[:-1]]]
+        mark_of = np.full(len(names), -1)
+        mark_of[marked] = len(known) + ends_in.indices.to_numpy()
+        known += self._by_itself(ends_in.dictionary.to_pylist())
+        none = len(known)
+        known.append(b"")
+        known += self._by_itself(["x" if o else f for f, o in zip(first.to_pylist(), first_odd.tolist(), strict=True)])
+        mark_of[mark_of < 0] = none
+        pairs = np.empty((len(at), 2), np.int64)
+        pairs[:, 0], pairs[:, 1] = stem_of[at], mark_of[at]
+        pairs[offsets[:-1], 0] = none + 1 + np.arange(n)
+        pairs[offsets[:-1], 1] = none
+
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        flat = np.frombuffer(b"".join(known), "<u4")
+        seq = pairs.ravel()
+        counts = sizes[seq]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[seq] - (ends - counts), counts) + np.arange(ends[-1])]
+        whole = np.zeros(n, bool)
+        whole[np.searchsorted(offsets, np.flatnonzero(odd[at]), "right") - 1] = True
+        whole |= pc.match_substring(first, "\n").to_numpy(zero_copy_only=False)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        cuts = np.append((ends - counts)[2 * offsets[:-1]], ends[-1])
+        return [self._ids(texts[i].as_py()) if w else ids[a:b] for i, (w, a, b) in enumerate(zip(whole.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -217,7 +286,7 @@ def _encoder(json: str) -> Encoder:
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 18) -> DataFrame:
-    """Encode every text, append ``end_id``, and write the ids in ascending document order as segments: (part, seq, n_ids, segment).
+    """Encode every text, append ``end_id``, and write the ids in ascending document order as segments: (part, seq, ahead, n_ids, segment), ahead being the ids before it in its part.
 
     Texts are dealt into ranges of the id (then of a hash of the text, so one id with many rows spreads), each range is sorted and written in segments of about
     ``segment_ids`` ids. Null texts are empty; null ids come first. The tokenizer's file goes to the executors by broadcast: a file of
@@ -239,20 +308,20 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col:
         names: list[int | None] = []
         counts: list[int] = []
         held: list[np.ndarray] = []
-        size = 0
+        size = ahead = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, size, names, counts, held
+            nonlocal seq, size, ahead, names, counts, held
             blob = write_segment(names, counts, np.concatenate(held) if held else np.zeros(0, np.uint64))
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "n_ids", "segment"])
-            seq, size, names, counts, held = seq + 1, 0, [], [], []
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ahead], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "ahead", "n_ids", "segment"])
+            seq, ahead, size, names, counts, held = seq + 1, ahead + size, 0, [], [], []
             return row
 
         end = np.array([] if end_id is None else [end_id], "<u4")
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
-                for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for at in range(0, big.num_rows, 3000):
+                batch = big.slice(at, 3000)
+                for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                     names.append(name)
                     held += [ids, end]
                     counts.append(len(ids) + len(end))
@@ -262,28 +331,28 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col:
         if names:
             yield flush()
 
-    return materialize(rows.mapInArrow(run, "part int, seq int, n_ids long, segment binary"), "segments")
+    return materialize(rows.mapInArrow(run, "part int, seq int, ahead long, n_ids long, segment binary"), "segments")
 
 
 def read(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document of the segments: id, start (ids of all documents before it), n_tokens, ids_crc32, and part and seq of its segment.
 
-    Starts come from the segments' sizes: summed up over parts (one row each), then within a part.
+    A document's start is the ids of the parts before, those ahead of its segment in its part, and those before it in the segment. Only the
+    parts' sums are sent to all tasks: one number for each partition of the writing shuffle, whose count is a setting.
     """
-    ship(segments.sparkSession)
-    sizes = segments.select("part", "seq", "n_ids")
-    totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("head"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("ahead", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part").select("part", "seq", (F.col("head") + F.col("ahead")).alias("start"))
-    rows = segments.select("part", "seq", "segment").join(starts, ["part", "seq"]).select("part", "seq", "start", "segment")
+    spark = segments.sparkSession
+    ship(spark)
+    totals = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    heads, total = {}, 0
+    for part in sorted(totals):
+        heads[part], total = total, total + totals[part]
+    rows = segments.select("part", "seq", "ahead", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, start, blob in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            for part, seq, ahead, blob in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 names, counts, ids = read_segment(blob.as_py())
-                ids = ids.astype("<u4")
+                ids, start = ids.astype("<u4"), heads[part] + ahead
                 ends = np.cumsum(counts)
                 crcs = [zlib.crc32(ids[e - c : e].tobytes()) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(names, pa.int64()), pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), pa.array([part] * len(names), pa.int32()), pa.array([seq] * len(names), pa.int32())], names=[id_col, "start", "n_tokens", "ids_crc32", "part", "seq"])
