@@ -1,6 +1,6 @@
-"""Registry of the engine's own queries."""
+"""All queries of the engine: importing the query modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import q_duplicates, q_intervals, q_qc  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
