@@ -34,16 +34,23 @@ def url_key(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c[0]):02x}", f"{host}{port}){m[4] or '/'}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
-    """One WARC/1.1 record, compressed as a gzip member of its own. A revisit has the HTTP head alone, and the digest of the payload it stands for."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    body = http if revisit else http + payload
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
+    """One WARC/1.1 record, compressed as a gzip member of its own; with ``refers_to`` a revisit."""
+    sha = hashlib.sha1(payload).digest()
+    return revisit(page_id, url, sha, len(payload), refers_to) if refers_to is not None else _member(page_id, url, sha, len(payload), payload, [])
+
+
+def revisit(page_id: int | None, url: str | None, sha: bytes, size: int, refers_to: int) -> bytes:
+    """A revisit record: the HTTP head alone, and the digest of the payload it stands for."""
+    return _member(page_id, url, sha, size, b"", [f"WARC-Refers-To: <{ID}{refers_to}>", f"WARC-Profile: {PROFILE}"])
+
+
+def _member(page_id: int | None, url: str | None, sha: bytes, size: int, payload: bytes, more: list[str]) -> bytes:
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload
     uri = re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c[0]):02X}", url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
-    if revisit:
-        head += [f"WARC-Refers-To: <{ID}{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if more else 'response'}", f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}"]
+    head += [*more, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
@@ -69,17 +76,28 @@ def _number(urn: str) -> int | None:
     return int(text) if text else None
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(id, url, html, refers_to): of pages with equal payloads of at least ``least_bytes``, all but those with the largest id refer to it.
+def packed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+    """(id, url, sha, size, member, refers_to): each page as a response record, and what it refers to: of pages with equal payloads of at least ``least_bytes``, all but those with the largest id do.
 
-    Groups are found by SHA-1 and length, pre-aggregated; the join back can be split where a payload is common. Rows that share the largest id
-    are all responses; null ids refer to the largest id, or to none if all are null.
+    Pages are compressed before they are shuffled. Groups are found by SHA-1 and length, pre-aggregated; the join back is by sorted
+    partitions, which can be split where a payload is common. Rows that share the largest id are all responses; null ids refer to the largest id, or to none if all are null.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas, sizes, packs = [], [], []
+            for name, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                payload = page.as_py().encode("utf-8", "surrogatepass")
+                shas.append(hashlib.sha1(payload).hexdigest())
+                sizes.append(len(payload))
+                packs.append(record(name, url, payload))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shas, pa.string()), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], names=["id", "url", "sha", "size", "member"])
+
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    groups = rows.groupBy("sha", "size").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).filter(F.col("size") >= least_bytes).select("sha", "size", "last")
-    joined = rows.join(groups, ["sha", "size"], "left")
-    return joined.select("id", "url", "html", F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("id")), F.col("last")).alias("refers_to"))
+    keys = rows.select("id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").cast("long").alias("size"))
+    groups = keys.groupBy("sha", "size").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).filter(F.col("size") >= least_bytes).select("sha", "size", "last")
+    joined = rows.mapInArrow(run, "id long, url string, sha string, size long, member binary").join(groups.hint("merge"), ["sha", "size"], "left")
+    return joined.select("id", "url", "sha", "size", "member", F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("id")), F.col("last")).alias("refers_to"))
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, archive_bytes: int = 4 << 20) -> DataFrame:
@@ -98,15 +116,15 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             return row
 
         for batch in batches:
-            for name, url, page, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                held.append(record(name, url, page.as_py().encode("utf-8", "surrogatepass"), refers_to, refers_to is not None))
+            for name, url, sha, n, member, refers_to in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                held.append(member.as_py() if refers_to is None else revisit(name, url, bytes.fromhex(sha), n, refers_to))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield flush()
         if held:
             yield flush()
 
-    return materialize(with_revisits(pages, id_col, url_col, html_col, least_bytes).mapInArrow(run, "archive string, data binary"), "archives")
+    return materialize(packed(pages, id_col, url_col, html_col, least_bytes).mapInArrow(run, "archive string, data binary"), "archives")
 
 
 def members(data: bytes) -> Iterator[tuple[int, int]]:
@@ -241,7 +259,7 @@ def read_back(archives: DataFrame, blocks: DataFrame, id_col: str = "page_id") -
 
     ranges = blocks.select("data").mapInArrow(expand, "archive string, offset long, length long")
     by_archive = ranges.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    rows = archives.join(by_archive, "archive").select("data", "ranges").mapInArrow(fetch, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = archives.join(by_archive.hint("merge"), "archive").select("data", "ranges").mapInArrow(fetch, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     rows = materialize(rows, "records")
     whole = rows.filter("record_type = 'response'").groupBy(F.col("id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("whole_bytes"))
     joined = rows.join(whole, ["refers_to", "payload_digest"], "left")
