@@ -99,8 +99,11 @@ def scatter(intervals: DataFrame, parts: int) -> DataFrame:
 
 def n_runs(reference: DataFrame, shortest: int = 1) -> DataFrame:
     """Runs of N and of other bases in a chunked reference: runs of each chunk, joined over chunk borders."""
-    pieces = reference.select("contig", "start", F.expr("filter(transform(sequence(1, length(bases)), i -> struct(i, substr(bases, i, 1) = 'N' as n)), e -> e.i = 1 or e.n <> (substr(bases, e.i - 1, 1) = 'N'))").alias("b"), F.length("bases").alias("len"))
-    runs = pieces.select("contig", "start", "len", "b", F.posexplode("b").alias("k", "e")).select("contig", (F.col("start") + F.col("e.i") - 1).alias("start"), F.expr("start + if(k + 1 < size(b), b[k + 1].i - 1, len) - 1").alias("stop"), F.col("e.n").alias("is_n"))
+    found = F.expr(
+        "aggregate(regexp_extract_all(bases, '(N+|[^N]+)', 0), named_struct('at', start, 'runs', cast(array() as array<struct<start:int,stop:int,is_n:boolean>>)), "
+        "(s, x) -> named_struct('at', s.at + length(x), 'runs', concat(s.runs, array(named_struct('start', s.at, 'stop', s.at + length(x) - 1, 'is_n', startswith(x, 'N'))))), s -> s.runs)"
+    )
+    runs = reference.select("contig", F.inline(found))
     return merged(runs.withColumn("name", F.lit("")), ("contig", "is_n")).filter(F.col("stop") - F.col("start") + 1 >= shortest).select("contig", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "is_n")
 
 
