@@ -143,5 +143,7 @@ class Tables:
 
 def oracle(sql: str, *names: str) -> str:
     """``sql`` with the named canonical tables put before it."""
+    if not names:
+        return sql
     ctes = ", ".join(f"{n} AS ({ADAPTERS[n][0](DUCK)})" for n in names)
     return f"WITH {ctes} {sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {ctes}, {sql.lstrip()[5:]}"
