@@ -89,7 +89,7 @@ def complement(x: Column | str) -> Column:
 
 def hamming(a: str, b: str) -> Column:
     """Differing characters of two strings of equal length; null if their lengths differ."""
-    return F.expr(f"if(length({a}) = length({b}), aggregate(sequence(1, length({a})), 0, (n, i) -> n + if(substr({a}, i, 1) <> substr({b}, i, 1), 1, 0)), null)")
+    return F.expr(f"if(length({a}) = length({b}), aggregate(if({a} = '', cast(array() as array<int>), sequence(1, length({a}))), 0, (n, i) -> n + if(substr({a}, i, 1) <> substr({b}, i, 1), 1, 0)), null)")
 
 
 def half_up(x: Column) -> Column:
@@ -143,10 +143,10 @@ def location(name: str = "name") -> Column:
 
 def quality_trim_point(quals: str, threshold: int) -> Column:
     """How many leading bases stay when the end is trimmed where the running sum of (threshold - quality) from the end is largest."""
+    step = f"s.sum + {threshold} - element_at({quals}, i)"
     return F.expr(
-        f"aggregate(sequence(size({quals}), 1, -1), named_struct('sum', 0, 'best', 0, 'at', size({quals}), 'on', true), "
-        f"(s, i) -> named_struct('sum', s.sum + {threshold} - element_at({quals}, i), 'best', if(s.on and s.sum + {threshold} - element_at({quals}, i) > s.best, s.sum + {threshold} - element_at({quals}, i), s.best), "
-        f"'at', if(s.on and s.sum + {threshold} - element_at({quals}, i) > s.best, i - 1, s.at), 'on', s.on and s.sum + {threshold} - element_at({quals}, i) >= 0), s -> if(size({quals}) = 0, 0, s.at))"
+        f"if(size({quals}) = 0, 0, aggregate(sequence(size({quals}), 1, -1), named_struct('sum', 0, 'best', 0, 'at', size({quals}), 'on', true), "
+        f"(s, i) -> named_struct('sum', {step}, 'best', if(s.on and {step} > s.best, {step}, s.best), 'at', if(s.on and {step} > s.best, i - 1, s.at), 'on', s.on and {step} >= 0), s -> s.at))"
     )
 
 

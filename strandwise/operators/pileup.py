@@ -107,36 +107,41 @@ def error_counts(reads: DataFrame, reference: DataFrame, by: dict[str, Column],
     return counts.withColumn("q_score", R.bayesian_quality(F.col("error_bases"), F.col("total_bases")))
 
 
-_BACK = R.has(R.REVERSE)
-_CYCLE = F.when(_BACK, F.col("len") - F.col("offset")).otherwise(F.col("offset") + 1)
-_STEP = F.when(_BACK, 1).otherwise(-1)
+def _back() -> Column:
+    return R.has(R.REVERSE)
+
+
+def _cycle() -> Column:
+    return F.when(_back(), F.col("len") - F.col("offset")).otherwise(F.col("offset") + 1)
 
 
 def _strand(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(_BACK, R.complement(c)).otherwise(c)
+    return F.when(_back(), R.complement(c)).otherwise(c)
 
 
 def _neighbour(step: int) -> Column:
     """The read's base before (-1) or after (1) this one in the order of sequencing; null at its ends."""
-    at = F.col("offset") + 1 + F.when(_BACK, -step).otherwise(step)
+    at = F.col("offset") + 1 + F.when(_back(), -step).otherwise(step)
     return F.when((at >= 1) & (at <= F.col("len")), _strand(F.col("read_bases").substr(at, F.lit(1))))
 
 
-_RUN = F.when(_BACK, F.expr("length(regexp_extract(substr(read_bases, offset + 2), concat('^(', base, '*)'), 1))")).otherwise(F.expr("length(regexp_extract(substr(read_bases, 1, offset), concat('(', base, '*)$'), 1))"))
+def _run() -> Column:
+    """Length of the run of the read's base before this one, in the order of sequencing."""
+    return F.when(_back(), F.expr("length(regexp_extract(substr(read_bases, offset + 2), concat('^(', base, '*)'), 1))")).otherwise(F.expr("length(regexp_extract(substr(read_bases, 1, offset), concat('(', base, '*)$'), 1))"))
 
 
 def strata() -> dict[str, Column]:
     """The named strata of the error metrics, as expressions over a base, its record and the reference."""
     f = F.col
-    orientation = F.when(R.has(R.PAIRED) & ~R.has(R.MATE_UNMAPPED), F.when(R.has(R.REVERSE) == R.has(R.MATE_REVERSE), F.when(_BACK, "R1R2").otherwise("F1F2")).otherwise(F.when(R.has(R.FIRST) != _BACK, "F1R2").otherwise("F2R1")))
+    orientation = F.when(R.has(R.PAIRED) & ~R.has(R.MATE_UNMAPPED), F.when(R.has(R.REVERSE) == R.has(R.MATE_REVERSE), F.when(_back(), "R1R2").otherwise("F1F2")).otherwise(F.when(R.has(R.FIRST) != _back(), "F1R2").otherwise("F2R1")))
     mismatches = f("nm") - (f("base") != f("ref")).cast("int")
     return {
-        "all": F.lit("all"), "base_quality": f("quality"), "cycle": _CYCLE, "gc_content": R.half_up(100 * f("gc")) / 100.0, "read_ordinality": F.when(R.has(R.PAIRED), F.when(R.has(R.FIRST), "FIRST").otherwise("SECOND")),
-        "read_base": _strand("base"), "pre_dinuc": F.concat(_neighbour(-1), _strand("ref")), "homopolymer_length": _RUN, "read_direction": F.when(_BACK, "-").otherwise("+"), "pair_orientation": orientation, "reference_base": _strand("ref"),
-        "post_dinuc": F.concat(_strand("ref"), _neighbour(1)), "homopolymer": F.when(_neighbour(-1).isNotNull(), F.concat_ws(",", _RUN.cast("string"), _neighbour(-1), _strand("ref"))), "binned_homopolymer": F.when(_RUN >= 6, "LONG_HOMOPOLYMER").otherwise("SHORT_HOMOPOLYMER"),
+        "all": F.lit("all"), "base_quality": f("quality"), "cycle": _cycle(), "gc_content": R.half_up(100 * f("gc")) / 100.0, "read_ordinality": F.when(R.has(R.PAIRED), F.when(R.has(R.FIRST), "FIRST").otherwise("SECOND")),
+        "read_base": _strand("base"), "pre_dinuc": F.concat(_neighbour(-1), _strand("ref")), "homopolymer_length": _run(), "read_direction": F.when(_back(), "-").otherwise("+"), "pair_orientation": orientation, "reference_base": _strand("ref"),
+        "post_dinuc": F.concat(_strand("ref"), _neighbour(1)), "homopolymer": F.when(_neighbour(-1).isNotNull(), F.concat_ws(",", _run().cast("string"), _neighbour(-1), _strand("ref"))), "binned_homopolymer": F.when(_run() >= 6, "LONG_HOMOPOLYMER").otherwise("SHORT_HOMOPOLYMER"),
         "flowcell_tile": f("tile"), "insert_length": F.least(10 * f("len"), F.abs("tlen")), "soft_clips": R.op_total("S"), "mismatches_in_read": mismatches, "one_base_padded_context": F.concat(_neighbour(-1), _strand("ref"), _neighbour(1)), "read_group": f("rg"), "mapping_quality": f("mapq"),
-        "binned_cycle": F.least(F.floor(5.0 * (_CYCLE - 1) / f("len")) + 1, F.lit(5)).cast("int"), "ns_in_read": f("ns"), "insertions_in_read": R.op_total("I"), "deletions_in_read": R.op_total("D"), "indels_in_read": R.op_total("ID"),
+        "binned_cycle": F.least(F.floor(5.0 * (_cycle() - 1) / f("len")) + 1, F.lit(5)).cast("int"), "ns_in_read": f("ns"), "insertions_in_read": R.op_total("I"), "deletions_in_read": R.op_total("D"), "indels_in_read": R.op_total("ID"),
         "pair_properness": F.when(R.has(R.PAIRED), F.when(R.has(R.PROPER), "PROPER").otherwise("IMPROPER")),
     }
 

@@ -148,7 +148,7 @@ def read_length_histogram(reads: DataFrame) -> DataFrame:
 def flow_yield(reads: DataFrame, flow_order: str = "TGCA") -> DataFrame:
     """Flows a read takes: each base run costs the flows up to its base in the repeated flow order. Per run one flow is called."""
     order = F.lit(flow_order)
-    runs = F.expr("filter(transform(sequence(1, length(bases)), i -> if(i = 1 or substr(bases, i, 1) <> substr(bases, i - 1, 1), substr(bases, i, 1), '')), c -> c <> '' and c <> 'N')")
+    runs = F.expr("filter(transform(if(bases = '', cast(array() as array<int>), sequence(1, length(bases))), i -> if(i = 1 or substr(bases, i, 1) <> substr(bases, i - 1, 1), substr(bases, i, 1), '')), c -> c <> '' and c <> 'N')")
     r = primary_reads(reads).withColumn("runs", runs).withColumn("order", order)
     flows = F.expr("aggregate(runs, named_struct('at', -1, 'n', 0), (s, c) -> named_struct('at', instr(order, c) - 1, 'n', s.n + if(s.at < 0, instr(order, c), pmod(instr(order, c) - 1 - s.at - 1, length(order)) + 1)), s -> s.n)")
     return r.agg(F.count(F.lit(1)).alias("total_reads"), F.sum(F.size("runs")).cast("long").alias("called_flows"), F.sum(flows).cast("long").alias("flows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import variants as V
@@ -74,17 +75,12 @@ CONC = f"""WITH {SITES}, t AS (SELECT contig, pos, a1 AS a, b1 AS b, gq1 AS gq,
 
 
 def _sides(t):
-    w = F.count(F.lit(1)).over(V_WINDOW)
+    w = F.count(F.lit(1)).over(Window.partitionBy("contig", "pos"))
     v = t.variants.withColumn("c", w).filter("c = 1")
     side = lambda i, skip: v.filter(f"k % 10 <> {skip}").select("contig", "pos", F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b"), F.col(f"gq{i}").alias("gq"), F.col(f"dp{i}").alias("dp"))
     return side(1, 3), side(2, 4)
 
 
-from pyspark.sql import Window  # noqa: E402
-
-V_WINDOW = Window.partitionBy("contig", "pos")
-
-
 @query("concordance_contingency", f"{CONC} SELECT * FROM s", "variants")
 def _(t):
     return V.concordance(*_sides(t))
