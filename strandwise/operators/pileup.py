@@ -23,14 +23,24 @@ def aligned_bases(reads: DataFrame, *keep: str) -> DataFrame:
     return x.select("idx", "contig", *keep, off.alias("offset"), (F.col("b.ref_start") + F.col("o")).alias("pos"), F.expr("substr(bases, b.read_start + o + 1, 1)").alias("base"), F.expr("quals[b.read_start + o]").alias("quality"))
 
 
-def with_reference(bases: DataFrame, reference: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Join the reference base (upper case), and its neighbours, by contig and chunk. Positions outside the reference are dropped."""
+def aligned_to_reference(reads: DataFrame, reference: DataFrame, *keep: str, chunk: int = CHUNK) -> DataFrame:
+    """``aligned_bases`` with the reference base (upper case) and its three-base context (null at the ends of a chunk).
+
+    Blocks, cut at chunk borders, meet the reference, not bases: what is shuffled is a row a block, and each base is then cut from its block's short strings.
+    Positions outside the reference are dropped.
+    """
+    b = reads.select("idx", "contig", *keep, F.col("bases").alias("_b"), F.col("quals").alias("_q"), F.explode(R.blocks()).alias("b"))
+    b = b.select("*", F.explode(F.sequence(F.floor((F.col("b.ref_start") - 1) / chunk), F.floor((F.col("b.ref_start") + F.col("b.len") - 2) / chunk))).alias("_chunk"))
     ref = reference.select("contig", F.col("chunk").cast("long").alias("_chunk"), F.upper("bases").alias("_ref"), F.col("start").alias("_start"))
-    x = bases.withColumn("_chunk", F.floor((F.col("pos") - 1) / chunk)).join(ref, ["contig", "_chunk"])
-    at = F.col("pos") - F.col("_start")
-    x = x.withColumn("ref", F.expr("substr(_ref, pos - _start + 1, 1)")).filter(F.col("ref") != "")
-    around = F.when((at > 0) & (at < F.length("_ref") - 1), F.expr("substr(_ref, pos - _start, 3)"))
-    return x.withColumn("context", around).drop("_chunk", "_ref", "_start")
+    x = b.join(ref, ["contig", "_chunk"])
+    x = x.withColumn("_s", F.greatest("b.ref_start", "_start")).withColumn("_n", F.least(F.col("b.ref_start") + F.col("b.len"), F.col("_start") + F.length("_ref")) - F.col("_s")).filter("_n > 0")
+    x = x.withColumn("_o", F.col("b.read_start") + F.col("_s") - F.col("b.ref_start"))
+    around = F.expr("concat(if(_s = _start, ' ', substr(_ref, _s - _start, 1)), substr(_ref, _s - _start + 1, _n), if(_s + _n = _start + length(_ref), ' ', substr(_ref, _s - _start + _n + 1, 1)))")
+    # cut before the explode: a select with a generator computes its other columns after it, once a base
+    x = x.select("idx", "contig", *keep, "_o", "_s", "_n", around.alias("_around"), F.expr("substr(_b, _o + 1, _n)").alias("_bases"), F.expr("slice(_q, _o + 1, _n)").alias("_quals"))
+    x = x.select("*", F.explode(F.expr("sequence(0, _n - 1)")).alias("i"))
+    context = F.expr("substr(_around, i + 1, 3)")
+    return x.select("idx", "contig", *keep, (F.col("_o") + F.col("i")).alias("offset"), (F.col("_s") + F.col("i")).alias("pos"), F.expr("substr(_bases, i + 1, 1)").alias("base"), F.expr("_quals[i]").alias("quality"), F.expr("substr(_around, i + 2, 1)").alias("ref"), F.when(~context.contains(" "), context).alias("context"))
 
 
 def read_fates(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
@@ -101,7 +111,7 @@ def error_counts(reads: DataFrame, reference: DataFrame, by: dict[str, Column],
     """Aligned bases and mismatches by any strata, each a name and an expression over a base, its record and the reference. A null stratum drops the base; N never counts."""
     keep = ["flags", "mapq", "len", "rg", "tlen", "nm", "read_bases", "tile", "ops", "gc", "ns"]
     r = usable(reads).withColumn("read_bases", F.col("bases")).withColumn("gc", F.length(F.regexp_replace("bases", "[^GC]", "")) / F.length("bases")).withColumn("ns", F.length(F.regexp_replace("bases", "[^N]", "")))
-    x = with_reference(aligned_bases(r, *keep), reference).filter((F.col("base") != "N") & (F.col("ref") != "N") & (F.col("quality") >= min_quality))
+    x = aligned_to_reference(r, reference, *keep).filter((F.col("base") != "N") & (F.col("ref") != "N") & (F.col("quality") >= min_quality))
     x = x.select(*(c.alias(k) for k, c in by.items()), (F.col("base") != F.col("ref")).alias("_err")).dropna(subset=list(by))
     counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("total_bases"), R.count_true(F.col("_err")).alias("error_bases"))
     return counts.withColumn("q_score", R.bayesian_quality(F.col("error_bases"), F.col("total_bases")))
@@ -155,7 +165,7 @@ def indel_errors(reads: DataFrame) -> DataFrame:
 
 def overlapping_errors(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Bases whose position another record of the template covers too, by agreement with the reference and the mate. One shuffle by (contig, position, name), no join."""
-    x = with_reference(aligned_bases(usable(reads).filter(R.has(R.PAIRED)), "name", "flags"), reference).filter((F.col("base") != "N") & (F.col("ref") != "N"))
+    x = aligned_to_reference(usable(reads).filter(R.has(R.PAIRED)), reference, "name", "flags").filter((F.col("base") != "N") & (F.col("ref") != "N"))
     end = x.groupBy("contig", "pos", "name", "ref").agg(F.min_by(F.when(R.has(R.FIRST), F.col("base")), F.when(R.has(R.FIRST), F.col("idx"))).alias("b1"), F.min_by(F.when(~R.has(R.FIRST), F.col("base")), F.when(~R.has(R.FIRST), F.col("idx"))).alias("b2"))
     end = end.filter("b1 is not null and b2 is not null")
     c = R.count_true
@@ -164,7 +174,7 @@ def overlapping_errors(reads: DataFrame, reference: DataFrame) -> DataFrame:
 
 def oxidation(reads: DataFrame, reference: DataFrame, min_quality: int = 20, min_mapq: int = 20) -> DataFrame:
     """C>A and G>T by three-base context (as C): by whether the substitution's read end and strand fit oxidised guanine."""
-    x = with_reference(aligned_bases(usable(reads).filter((F.col("mapq") >= min_mapq) & R.has(R.PAIRED) & ~R.has(R.DUPLICATE)), "flags", "library"), reference)
+    x = aligned_to_reference(usable(reads).filter((F.col("mapq") >= min_mapq) & R.has(R.PAIRED) & ~R.has(R.DUPLICATE)), reference, "flags", "library")
     x = x.filter(F.col("ref").isin("C", "G") & F.col("context").isNotNull() & ~F.col("context").contains("N") & (F.col("quality") >= min_quality))
     context = F.when(F.col("ref") == "C", F.col("context")).otherwise(R.reverse_complement("context"))
     second = R.has(R.SECOND)
@@ -179,20 +189,20 @@ def oxidation(reads: DataFrame, reference: DataFrame, min_quality: int = 20, min
 
 def artifacts(reads: DataFrame, reference: DataFrame, min_quality: int = 20) -> DataFrame:
     """Substitutions by reference base, called base and context, by strand: what pre-adapter and bait-bias artifact rates are made of."""
-    x = with_reference(aligned_bases(usable(reads), "flags"), reference).filter((F.col("quality") >= min_quality) & (F.col("base") != "N") & F.col("context").isNotNull() & ~F.col("context").contains("N"))
+    x = aligned_to_reference(usable(reads), reference, "flags").filter((F.col("quality") >= min_quality) & (F.col("base") != "N") & F.col("context").isNotNull() & ~F.col("context").contains("N"))
     return x.groupBy(F.col("ref").alias("ref_base"), F.col("base").alias("called"), "context").agg(F.count(F.lit(1)).alias("bases"), R.count_true(~R.has(R.REVERSE)).alias("forward"), R.count_true(R.has(R.FIRST)).alias("first_end"))
 
 
 def nm_uq(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Per usable record: nm (mismatches plus inserted and deleted bases) and uq (sum of qualities at mismatches)."""
     r = usable(reads)
-    x = with_reference(aligned_bases(r), reference).filter(F.col("base") != F.col("ref")).groupBy("idx").agg(F.count(F.lit(1)).alias("mismatches"), F.sum("quality").cast("long").alias("uq"))
+    x = aligned_to_reference(r, reference).filter(F.col("base") != F.col("ref")).groupBy("idx").agg(F.count(F.lit(1)).alias("mismatches"), F.sum("quality").cast("long").alias("uq"))
     return r.select("idx", R.op_total("ID").alias("gaps")).join(x, "idx", "left").select("idx", (F.coalesce("mismatches", F.lit(0)) + F.col("gaps")).cast("long").alias("nm_new"), F.coalesce("uq", F.lit(0)).cast("long").alias("uq"))
 
 
 def methylation(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Converted and unconverted cytosines of forward records by whether they are followed by G, by library."""
-    x = with_reference(aligned_bases(usable(reads).filter(~R.has(R.REVERSE)), "library"), reference).filter((F.col("ref") == "C") & F.col("context").isNotNull())
+    x = aligned_to_reference(usable(reads).filter(~R.has(R.REVERSE)), reference, "library").filter((F.col("ref") == "C") & F.col("context").isNotNull())
     cpg = F.substring("context", 3, 1) == "G"
     return x.groupBy("library").agg(R.count_true(cpg).alias("cpg_bases_seen"), R.count_true(cpg & (F.col("base") == "T")).alias("cpg_bases_converted"), R.count_true(~cpg).alias("non_cpg_bases"), R.count_true(~cpg & (F.col("base") == "T")).alias("non_cpg_converted_bases"))
 

@@ -48,7 +48,8 @@ def cycles(reads: DataFrame, *values: str) -> DataFrame:
     seq = F.when(back, R.reverse_complement("bases")).otherwise(F.col("bases"))
     quals = F.when(back, F.reverse("quals")).otherwise(F.col("quals"))
     end = F.when(R.has(R.PAIRED) & R.has(R.SECOND), 2).otherwise(1)
-    rows = primary_reads(reads).select(*values, end.alias("read_end"), seq.alias("_s"), F.posexplode(quals).alias("offset", "quality"))
+    rows = primary_reads(reads).select(*values, end.alias("read_end"), seq.alias("_s"), quals.alias("_q"))
+    rows = rows.select(*values, "read_end", "_s", F.posexplode("_q").alias("offset", "quality"))
     return rows.select(*values, "read_end", (F.col("offset") + 1).alias("cycle"), F.expr("substr(_s, offset + 1, 1)").alias("base"), "quality")
 
 

@@ -133,11 +133,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        if name in ADAPTERS:
-            sql, source = ADAPTERS[name]
+        if name in ("solid_reads", *ADAPTERS):
+            sql, source = ADAPTERS[name.removeprefix("solid_")]
             df = self._spark.sql(sql(SPARK), **{source: self._spark.read.parquet(f"{self._dir}/{source}.parquet")})
             # made-up base strings are costly: a generator keeps the optimizer from copying their expression into lambdas
-            return df.select(F.inline(F.array(F.struct("*")))) if name == "reference" else df
+            return df.select(F.inline(F.array(F.struct("*")))) if name in ("reference", "solid_reads") else df
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
 

@@ -84,7 +84,7 @@ def _register(stratum: str) -> None:
 
     @query(f"error_by_{stratum}", sql, "reads")
     def _(t):
-        return P.error_counts(t.reads, t.reference, {stratum: P.strata()[stratum]})
+        return P.error_counts(t.solid_reads, t.reference, {stratum: P.strata()[stratum]})
 
 
 for _stratum in STRATA:
@@ -94,7 +94,7 @@ for _stratum in STRATA:
 @query("error_by_read_group_and_direction", f"{WITH_REF} SELECT rg AS read_group, {STRATA['read_direction']} AS read_direction, {n('count(*)')} AS total_bases, {n('count(*) FILTER (base <> ref)')} AS error_bases, CAST(floor(-10 * log10((count(*) FILTER (base <> ref) + 0.001::DOUBLE) / (count(*) + 1)) + 0.5) AS INT) AS q_score FROM x WHERE base <> 'N' AND ref <> 'N' GROUP BY 1, 2", "reads")
 def _(t):
     s = P.strata()
-    return P.error_counts(t.reads, t.reference, {k: s[k] for k in ("read_group", "read_direction")})
+    return P.error_counts(t.solid_reads, t.reference, {k: s[k] for k in ("read_group", "read_direction")})
 
 
 @query("indel_error", f"SELECT rg, {n('count(*) FILTER (ck = 2)')} AS num_insertions, {n('3 * count(*) FILTER (ck = 2)')} AS num_inserted_bases, {n('count(*) FILTER (ck IN (1, 7))')} AS num_deletions, {n('sum(CASE ck WHEN 1 THEN 5 WHEN 7 THEN 2 ELSE 0 END)')} AS num_deleted_bases, {n(f'sum({LEN})')} AS aligned_bases FROM reads WHERE {USABLE} GROUP BY rg", "reads")
@@ -105,7 +105,7 @@ def _(t):
 @query("overlapping_error", f"""{WITH_REF}, g AS (SELECT contig, p, name, ref, arg_min(base, idx) FILTER (flags & 64 <> 0) AS b1, arg_min(base, idx) FILTER (flags & 64 = 0) AS b2 FROM x WHERE flags & 1 = 1 AND base <> 'N' AND ref <> 'N' GROUP BY ALL)
  SELECT {n('count(*)')} AS positions, {n('count(*) FILTER (b1 <> ref AND b1 = b2)')} AS both_differ_from_reference, {n('count(*) FILTER (b1 <> b2 AND (b1 = ref OR b2 = ref))')} AS one_differs, {n('count(*) FILTER (b1 <> ref AND b2 <> ref AND b1 <> b2)')} AS three_ways FROM g WHERE b1 IS NOT NULL AND b2 IS NOT NULL""", "reads")
 def _(t):
-    return P.overlapping_errors(t.reads, t.reference)
+    return P.overlapping_errors(t.solid_reads, t.reference)
 
 
 REV3 = "translate(reverse(context), 'ACGT', 'TGCA')"
@@ -116,22 +116,22 @@ ALT = "((ref = 'C' AND base = 'A') OR (ref = 'G' AND base = 'T'))"
 @query("oxog", f"""{WITH_REF} SELECT library, CASE WHEN ref = 'C' THEN context ELSE {REV3} END AS context, {n('count(*)')} AS total_bases, {n(f'count(*) FILTER (base = ref AND NOT ({OXO}))')} AS ref_nonoxo_bases, {n(f'count(*) FILTER (base = ref AND ({OXO}))')} AS ref_oxo_bases,
  {n(f'count(*) FILTER ({ALT} AND NOT ({OXO}))')} AS alt_nonoxo_bases, {n(f'count(*) FILTER ({ALT} AND ({OXO}))')} AS alt_oxo_bases FROM x WHERE mapq >= 20 AND flags & 1 = 1 AND flags & 1024 = 0 AND ref IN ('C', 'G') AND context IS NOT NULL AND context NOT LIKE '%N%' AND quality >= 20 GROUP BY 1, 2""", "reads")
 def _(t):
-    return P.oxidation(t.reads, t.reference)
+    return P.oxidation(t.solid_reads, t.reference)
 
 
 @query("artifact_counts", f"{WITH_REF} SELECT ref AS ref_base, base AS called, context, {n('count(*)')} AS bases, {n('count(*) FILTER (flags & 16 = 0)')} AS forward, {n('count(*) FILTER (flags & 64 <> 0)')} AS first_end FROM x WHERE quality >= 20 AND base <> 'N' AND context IS NOT NULL AND context NOT LIKE '%N%' GROUP BY ALL", "reads")
 def _(t):
-    return P.artifacts(t.reads, t.reference)
+    return P.artifacts(t.solid_reads, t.reference)
 
 
 @query("nm_uq_tags", f"""{WITH_REF}, m AS (SELECT idx, count(*) AS k, sum(quality) AS uq FROM x WHERE base <> ref GROUP BY idx) SELECT reads.idx, {n('coalesce(k, 0) + CASE ck WHEN 2 THEN 3 WHEN 1 THEN 5 WHEN 7 THEN 2 ELSE 0 END')} AS nm_new, {n('coalesce(uq, 0)')} AS uq FROM reads LEFT JOIN m USING (idx) WHERE {USABLE}""", "reads")
 def _(t):
-    return P.nm_uq(t.reads, t.reference)
+    return P.nm_uq(t.solid_reads, t.reference)
 
 
 @query("rrbs_cpg", f"{WITH_REF} SELECT library, {n("count(*) FILTER (context[3] = 'G')")} AS cpg_bases_seen, {n("count(*) FILTER (context[3] = 'G' AND base = 'T')")} AS cpg_bases_converted, {n("count(*) FILTER (context[3] <> 'G')")} AS non_cpg_bases, {n("count(*) FILTER (context[3] <> 'G' AND base = 'T')")} AS non_cpg_converted_bases FROM x WHERE flags & 16 = 0 AND ref = 'C' AND context IS NOT NULL GROUP BY library", "reads")
 def _(t):
-    return P.methylation(t.reads, t.reference)
+    return P.methylation(t.solid_reads, t.reference)
 
 
 GC = f"""WITH {ENDS}, w0 AS (SELECT contig, start + CAST(o AS INT) AS pos, substr(bases, CAST(o AS INT) + 1, 1) AS c FROM (SELECT *, unnest(range(0, length(bases))) AS o FROM reference) x),
