@@ -166,26 +166,93 @@ def umi_prevalence(reads: DataFrame) -> DataFrame:
     return umi_sets(reads).groupBy(*UMI_SITE).agg(F.count(F.lit(1)).alias("distinct_umis")).groupBy("distinct_umis").agg(F.count(F.lit(1)).alias("sites"))
 
 
-def library_complexity(reads: DataFrame, prefix: int = 5, length: int = 20, max_diff: float = 0.03) -> DataFrame:
-    """Sets of records whose first bases agree exactly and whose first ``length`` bases differ in at most ``max_diff``, by greedy claims in order of ordinals.
+def sequenced_pairs(reads: DataFrame, prefix: int = 5, min_mean_quality: int = 20) -> DataFrame:
+    """Templates of a library with a primary first and second end, mapped or not: both ends' whole bases in the order of sequencing, and when the pair is complete (the greater ordinal).
 
-    Groups of a prefix are claimed one after the other inside Arrow batches of whole groups.
+    Each end needs ``prefix`` bases without N and a mean quality, rounded down, of at least ``min_mean_quality``, as recorded. A name with several first or second ends counts with those of the least ordinal.
+    """
+    first, second = R.has(R.FIRST), ~R.has(R.FIRST) & R.has(R.SECOND)
+    good = (F.length("bases") >= prefix) & ~F.upper(F.substring("bases", 1, prefix)).contains("N") & (F.floor(F.expr("aggregate(quals, 0L, (n, q) -> n + q)") / F.length("bases")) >= min_mean_quality)
+    r = reads.filter(R.primary() & R.has(R.PAIRED) & (first | second))
+    end = F.struct(F.when(R.has(R.REVERSE), R.reverse_complement("bases")).otherwise(F.col("bases")).alias("bases"), good.alias("good"), "idx")
+    t = r.groupBy("library", "name").agg(F.min_by(F.when(first, end), F.when(first, F.col("idx"))).alias("a"), F.min_by(F.when(second, end), F.when(second, F.col("idx"))).alias("b"))
+    return t.filter("a.good and b.good").select("library", F.col("a.bases").alias("one"), F.col("b.bases").alias("two"), F.greatest("a.idx", "b.idx").alias("idx"))
+
+
+def claimed_sizes(ones: list[str], twos: list[str], counts: list[int], prefix: int, max_diff: float, scan: int = 64, width: int = 8) -> list[int]:
+    """Sizes of the sets that pairs of one prefix group make by greedy claims in the given order: each pair that is left takes all later ones that match it.
+
+    Ends are compared over the shorter of the two, from the prefix on; a pair matches with at most floor((len1 + len2) * max_diff) differences in both ends together.
+    A group of over ``scan`` pairs is not scanned for each claim: two pairs that share more whole blocks of ``width`` bases than they may differ in agree in one of them, so such pairs
+    are found by their blocks, and only shorter ones are compared with all. The sets are the same.
+    """
+    import numpy as np
+
+    n = len(ones)
+
+    def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(t) for t in texts])
+        wide = int(size.max())
+        return np.frombuffer("".join(t.ljust(wide, "\0") for t in texts).encode("ascii", "replace"), np.uint8).reshape(n, wide)[:, prefix:], size
+
+    (a, la), (b, lb) = matrix(ones), matrix(twos)
+    weight, open_ = np.array(counts), np.ones(n, bool)
+
+    def matching(lead: int, others: np.ndarray) -> np.ndarray:
+        errors = sum(((m[others] != m[lead]) & (m[others] != 0) & (m[lead] != 0)).sum(axis=1) for m in (a, b))
+        most = np.floor((np.minimum(la[others], la[lead]) + np.minimum(lb[others], lb[lead])) * max_diff)
+        return others[errors <= most]
+
+    blocks: dict[tuple, list[int]] = {}
+    shapes: dict[tuple[int, int], list[int]] = {}
+
+    def keys(i: int) -> list[tuple]:
+        return [(e, k, t[k : k + width]) for e, t in ((0, ones[i]), (1, twos[i])) for k in range(prefix, len(t) - width + 1, width)]
+
+    if n > scan:
+        for i in range(n):
+            shapes.setdefault((int(la[i]), int(lb[i])), []).append(i)
+            for key in keys(i):
+                blocks.setdefault(key, []).append(i)
+    out = []
+    for lead in range(n):
+        if not open_[lead]:
+            continue
+        open_[lead] = False
+        if n <= scan:
+            others = np.flatnonzero(open_)
+        else:
+            near: set[int] = set()
+            for key in keys(lead):
+                blocks[key] = [i for i in blocks[key] if open_[i]]
+                near.update(blocks[key])
+            for (x, y), members in shapes.items():
+                x, y = min(x, int(la[lead])), min(y, int(lb[lead]))
+                if (x - prefix) // width + (y - prefix) // width <= np.floor((x + y) * max_diff):
+                    near.update(i for i in members if open_[i])
+            others = np.array(sorted(near), dtype=int)
+        mine = matching(lead, others) if len(others) else others
+        open_[mine] = False
+        out.append(int(weight[lead] + weight[mine].sum()))
+    return out
+
+
+def library_complexity(reads: DataFrame, prefix: int = 5, max_diff: float = 0.03, min_mean_quality: int = 20) -> DataFrame:
+    """Sets of read pairs of a library by size: pairs whose ends both start with the same ``prefix`` bases and differ in at most ``max_diff`` of their whole ends, by greedy claims in the order in which pairs are complete.
+
+    Exact copies, which are always claimed together, are aggregated first; then a group of two prefixes is claimed inside a task, by an index where it is large.
     """
     import pandas as pd
 
-    r = reads.filter(R.primary() & (F.length("bases") >= length) & ~F.substring("bases", 1, length).contains("N"))
-    r = r.select("library", F.substring("bases", 1, prefix).alias("prefix"), F.substring("bases", 1, length).alias("head"), "idx").groupBy("library", "prefix", "head").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"))
-    most = int(length * max_diff)
+    from ..llm.work import ship
+
+    ship(reads.sparkSession)
+    p = sequenced_pairs(reads, prefix, min_mean_quality).groupBy("library", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"))
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        heads, ns, out = list(pdf["head"]), list(pdf["n"]), []
-        while heads:
-            lead = heads[0]
-            mine = [sum(a != b for a, b in zip(lead, h, strict=True)) <= most for h in heads]
-            out.append(sum(x for x, m in zip(ns, mine, strict=True) if m))
-            heads, ns = [h for h, m in zip(heads, mine, strict=True) if not m], [x for x, m in zip(ns, mine, strict=True) if not m]
-        return pd.DataFrame({"library": pdf["library"].iloc[0], "set_size": out})
-
-    sets = r.groupBy("library", "prefix").applyInPandas(claim, "library string, set_size long")
+        return pd.DataFrame({"library": pdf["library"].iloc[0], "set_size": claimed_sizes(list(pdf["one"]), list(pdf["two"]), list(pdf["n"]), prefix, max_diff)})
+
+    groups = p.withColumn("p1", F.substring("one", 1, prefix)).withColumn("p2", F.substring("two", 1, prefix)).groupBy("library", "p1", "p2")
+    sets = groups.applyInPandas(claim, "library string, set_size long")
     return sets.groupBy("library", "set_size").agg(F.count(F.lit(1)).alias("sets"))

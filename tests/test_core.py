@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from strandwise.functions import records as R
@@ -57,6 +61,41 @@ def test_umi_chain_is_one_cluster(spark):
     assert {r.umi: r.cluster for r in duplicates.umi_clusters(df).collect()} == {"ATCC": "AACC", "AACC": "AACC", "AACG": "AACC", "GGGG": "GGGG"}
 
 
+def slow_sets(pairs, max_diff=0.03):
+    out, left = [], list(pairs)
+    while left:
+        lead = left.pop(0)
+        cut = lambda p: [(x[:n], y[:n]) for x, y in zip(lead, p, strict=True) for n in [min(len(x), len(y))]]
+        match = lambda p: p[0][:5] == lead[0][:5] and p[1][:5] == lead[1][:5] and sum(a != b for x, y in cut(p) for a, b in zip(x, y, strict=True)) <= math.floor(sum(len(x) for x, _ in cut(p)) * max_diff)
+        mine = [p for p in left if match(p)]
+        left = [p for p in left if not match(p)]
+        out.append(1 + len(mine))
+    return Counter(out)
+
+
+def test_library_complexity_compares_whole_pairs(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    one, two = text(60), text(60)
+    flip = lambda s, *at: "".join("ACGT"[("ACGT".index(c) + 1) % 4] if i in at else c for i, c in enumerate(s))
+    pairs = [(one, two), (flip(one, 10, 40), flip(two, 59)), (flip(one, 10, 40), flip(two, 58, 59)), (one, flip(two, *range(30, 60))), (one[:18], two), (one, flip(two, 3)), (one[:12], two[:10]), (text(60), two)]
+    rows = []
+    for i, (x, y) in enumerate(pairs):
+        rows += [read(2 * i, f"p{i}", flags=65, bases=x), read(2 * i + 1, f"p{i}", flags=145, bases=y[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+    rows += [read(90, "single", bases=one), read(91, "half", flags=65, bases=one), read(92, "poor", flags=65, bases=one, q=19), read(93, "poor", flags=129, bases=two)]
+    got = {r.set_size: r.sets for r in duplicates.library_complexity(frame(spark, *rows)).collect()}
+    assert got == slow_sets(pairs) == {4: 1, 1: 4}
+
+
+def test_claims_of_a_large_group():
+    rng = random.Random(7)
+    roots = [tuple("ACGTA" + "".join(rng.choice("ACGT") for _ in range(70)) for _ in range(2)) for _ in range(6)]
+    near = lambda s: "".join(rng.choice("ACGTN") if i > 4 and rng.random() < 0.02 else c for i, c in enumerate(s))[: rng.choice((75, 75, 50, 20, 9))]
+    pairs = [tuple(map(near, rng.choice(roots))) for _ in range(400)]
+    for max_diff in (0.03, 0.0, 0.3):
+        assert Counter(duplicates.claimed_sizes([x for x, _ in pairs], [y for _, y in pairs], [1] * len(pairs), 5, max_diff)) == slow_sets(pairs, max_diff)
+
+
 def test_library_size(spark):
     t = spark.createDataFrame([(1000, 200), (10, 0)], "read_pairs long, duplicate_pairs long")
     assert [r.estimated_library_size for r in duplicates.estimate_library_size(t).orderBy("read_pairs").collect()] == [None, 2154]
