@@ -23,8 +23,8 @@ def aligned_bases(reads: DataFrame, *keep: str) -> DataFrame:
     return x.select("idx", "contig", *keep, off.alias("offset"), (F.col("b.ref_start") + F.col("o")).alias("pos"), F.expr("substr(bases, b.read_start + o + 1, 1)").alias("base"), F.expr("quals[b.read_start + o]").alias("quality"))
 
 
-def aligned_to_reference(reads: DataFrame, reference: DataFrame, *keep: str, chunk: int = CHUNK) -> DataFrame:
-    """``aligned_bases`` with the reference base (upper case) and its three-base context (null at the ends of a chunk).
+def aligned_to_reference(reads: DataFrame, reference: DataFrame, *keep: str, chunk: int = CHUNK, context: bool = False) -> DataFrame:
+    """``aligned_bases`` with the reference base (upper case) and, on demand, its three-base context (null at the ends of the reference, where a neighbour is missing).
 
     Blocks, cut at chunk borders, meet the reference, not bases: what is shuffled is a row a block, and each base is then cut from its block's short strings.
     Positions outside the reference are dropped.
@@ -32,15 +32,21 @@ def aligned_to_reference(reads: DataFrame, reference: DataFrame, *keep: str, chu
     b = reads.select("idx", "contig", *keep, F.col("bases").alias("_b"), F.col("quals").alias("_q"), F.explode(R.blocks()).alias("b"))
     b = b.select("*", F.explode(F.sequence(F.floor((F.col("b.ref_start") - 1) / chunk), F.floor((F.col("b.ref_start") + F.col("b.len") - 2) / chunk))).alias("_chunk"))
     ref = reference.select("contig", F.col("chunk").cast("long").alias("_chunk"), F.upper("bases").alias("_ref"), F.col("start").alias("_start"))
+    if context:  # a chunk gets the last base of the one before and the first of the one after
+        before = ref.select("contig", (F.col("_chunk") + 1).alias("_chunk"), F.expr("right(_ref, 1)").alias("_before"))
+        after = ref.select("contig", (F.col("_chunk") - 1).alias("_chunk"), F.substring("_ref", 1, 1).alias("_after"))
+        ref = ref.join(before, ["contig", "_chunk"], "left").join(after, ["contig", "_chunk"], "left").fillna(" ", ["_before", "_after"])
+    else:
+        ref = ref.withColumn("_before", F.lit(" ")).withColumn("_after", F.lit(" "))
     x = b.join(ref, ["contig", "_chunk"])
     x = x.withColumn("_s", F.greatest("b.ref_start", "_start")).withColumn("_n", F.least(F.col("b.ref_start") + F.col("b.len"), F.col("_start") + F.length("_ref")) - F.col("_s")).filter("_n > 0")
     x = x.withColumn("_o", F.col("b.read_start") + F.col("_s") - F.col("b.ref_start"))
-    around = F.expr("concat(if(_s = _start, ' ', substr(_ref, _s - _start, 1)), substr(_ref, _s - _start + 1, _n), if(_s + _n = _start + length(_ref), ' ', substr(_ref, _s - _start + _n + 1, 1)))")
+    around = F.expr("concat(if(_s = _start, _before, substr(_ref, _s - _start, 1)), substr(_ref, _s - _start + 1, _n), if(_s + _n = _start + length(_ref), _after, substr(_ref, _s - _start + _n + 1, 1)))")
     # cut before the explode: a select with a generator computes its other columns after it, once a base
     x = x.select("idx", "contig", *keep, "_o", "_s", "_n", around.alias("_around"), F.expr("substr(_b, _o + 1, _n)").alias("_bases"), F.expr("slice(_q, _o + 1, _n)").alias("_quals"))
     x = x.select("*", F.explode(F.expr("sequence(0, _n - 1)")).alias("i"))
-    context = F.expr("substr(_around, i + 1, 3)")
-    return x.select("idx", "contig", *keep, (F.col("_o") + F.col("i")).alias("offset"), (F.col("_s") + F.col("i")).alias("pos"), F.expr("substr(_bases, i + 1, 1)").alias("base"), F.expr("_quals[i]").alias("quality"), F.expr("substr(_around, i + 2, 1)").alias("ref"), F.when(~context.contains(" "), context).alias("context"))
+    three = F.expr("substr(_around, i + 1, 3)")
+    return x.select("idx", "contig", *keep, (F.col("_o") + F.col("i")).alias("offset"), (F.col("_s") + F.col("i")).alias("pos"), F.expr("substr(_bases, i + 1, 1)").alias("base"), F.expr("_quals[i]").alias("quality"), F.expr("substr(_around, i + 2, 1)").alias("ref"), *([F.when(~three.contains(" "), three).alias("context")] if context else []))
 
 
 def read_fates(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
@@ -174,7 +180,7 @@ def overlapping_errors(reads: DataFrame, reference: DataFrame) -> DataFrame:
 
 def oxidation(reads: DataFrame, reference: DataFrame, min_quality: int = 20, min_mapq: int = 20) -> DataFrame:
     """C>A and G>T by three-base context (as C): by whether the substitution's read end and strand fit oxidised guanine."""
-    x = aligned_to_reference(usable(reads).filter((F.col("mapq") >= min_mapq) & R.has(R.PAIRED) & ~R.has(R.DUPLICATE)), reference, "flags", "library")
+    x = aligned_to_reference(usable(reads).filter((F.col("mapq") >= min_mapq) & R.has(R.PAIRED) & ~R.has(R.DUPLICATE)), reference, "flags", "library", context=True)
     x = x.filter(F.col("ref").isin("C", "G") & F.col("context").isNotNull() & ~F.col("context").contains("N") & (F.col("quality") >= min_quality))
     context = F.when(F.col("ref") == "C", F.col("context")).otherwise(R.reverse_complement("context"))
     second = R.has(R.SECOND)
@@ -189,7 +195,7 @@ def oxidation(reads: DataFrame, reference: DataFrame, min_quality: int = 20, min
 
 def artifacts(reads: DataFrame, reference: DataFrame, min_quality: int = 20) -> DataFrame:
     """Substitutions by reference base, called base and context, by strand: what pre-adapter and bait-bias artifact rates are made of."""
-    x = aligned_to_reference(usable(reads), reference, "flags").filter((F.col("quality") >= min_quality) & (F.col("base") != "N") & F.col("context").isNotNull() & ~F.col("context").contains("N"))
+    x = aligned_to_reference(usable(reads), reference, "flags", context=True).filter((F.col("quality") >= min_quality) & (F.col("base") != "N") & F.col("context").isNotNull() & ~F.col("context").contains("N"))
     return x.groupBy(F.col("ref").alias("ref_base"), F.col("base").alias("called"), "context").agg(F.count(F.lit(1)).alias("bases"), R.count_true(~R.has(R.REVERSE)).alias("forward"), R.count_true(R.has(R.FIRST)).alias("first_end"))
 
 
@@ -202,7 +208,7 @@ def nm_uq(reads: DataFrame, reference: DataFrame) -> DataFrame:
 
 def methylation(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Converted and unconverted cytosines of forward records by whether they are followed by G, by library."""
-    x = aligned_to_reference(usable(reads).filter(~R.has(R.REVERSE)), reference, "library").filter((F.col("ref") == "C") & F.col("context").isNotNull())
+    x = aligned_to_reference(usable(reads).filter(~R.has(R.REVERSE)), reference, "library", context=True).filter((F.col("ref") == "C") & F.col("context").isNotNull())
     cpg = F.substring("context", 3, 1) == "G"
     return x.groupBy("library").agg(R.count_true(cpg).alias("cpg_bases_seen"), R.count_true(cpg & (F.col("base") == "T")).alias("cpg_bases_converted"), R.count_true(~cpg).alias("non_cpg_bases"), R.count_true(~cpg & (F.col("base") == "T")).alias("non_cpg_converted_bases"))
 

@@ -119,6 +119,25 @@ def test_gc_windows(spark):
     assert got == want
 
 
+def test_contexts_cross_chunk_borders(spark):
+    seq = "CGTCAGCCGATTGCAACGTGGCTAC"
+    chunks = [(0, k, 10 * k + 1, seq[10 * k : 10 * k + 10]) for k in range(3)]
+    ref = spark.createDataFrame(chunks, "contig int, chunk int, start int, bases string")
+    df = frame(spark, read(1, flags=65, pos=1, cigar="25M", bases=seq), read(2, flags=65, pos=8, cigar="6M", bases=seq[7:13]))
+    x = pileup.aligned_to_reference(df.withColumn("ops", R.cigar_ops()), ref, chunk=10, context=True)
+    want = {i + 1: seq[i - 1 : i + 2] if 0 < i < len(seq) - 1 else None for i in range(len(seq))}
+    assert sorted((r.idx, r.pos, r.context or "") for r in x.collect()) == sorted([(1, p, c or "") for p, c in want.items()] + [(2, p, want[p]) for p in range(8, 14)])
+    wide = seq * 40  # the operators' own chunks of 500
+    ref = spark.createDataFrame([(0, 0, 1, wide[:500]), (0, 1, 501, wide[500:])], "contig int, chunk int, start int, bases string")
+    df = frame(spark, read(1, flags=65, pos=491, cigar="20M", bases=wide[490:510]))
+    inside = range(490, 510)
+    assert pileup.artifacts(df, ref).agg(F.sum("bases")).first()[0] == 20
+    assert pileup.oxidation(df, ref).agg(F.sum("total_bases")).first()[0] == sum(wide[i] in "CG" for i in inside)
+    m = pileup.methylation(df, ref).first()
+    cpg = sum(wide[i : i + 2] == "CG" for i in inside)
+    assert (m.cpg_bases_seen, m.non_cpg_bases) == (cpg, sum(wide[i] == "C" for i in inside) - cpg) and cpg
+
+
 def test_variant_types(spark):
     cases = [("A", "G", "SNP"), ("A", "G,T", "SNP"), ("AC", "GT", "MNP"), ("A", "AT", "INDEL"), ("AT", "A", "INDEL"), ("A", "G,AT", "MIXED"), ("A", "<DEL>", "SYMBOLIC"), ("A", "*", "NO_VARIATION"), ("ACG", "T", "INDEL"), ("A", "ATT,ATTT", "INDEL")]
     df = spark.createDataFrame([(r, a) for r, a, _ in cases], "ref string, alts string").select("ref", "alts", variants.variant_type().alias("t"))
