@@ -21,6 +21,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _MARK = re.compile(r"[0-9@]")
+_GROUPS = re.compile(r"[+(]{0,2}[0-9]+(?:[ \t\xa0()./-]{1,3}[0-9]+)*")
+_BLANK = re.compile(r"[ \t\xa0]")
 _TRIM = "\"'`.,;:!?()[]{}<>|*#%$&="
 _WIDE = 96
 
@@ -67,7 +69,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]], least: int = 6) -> list[tuple[int, int]]:
-    """Words with a digit or an @, trimmed of marks, of at least ``least`` characters, that touch no base span."""
+    """Words with a digit or an @, trimmed of marks, and runs of digit groups joined by blanks, brackets, dots, hyphens and slashes over several words, of at least ``least`` characters, that touch no base span."""
     out, at = [], 0
     spans = sorted((a, b) for _, a, b in taken)
     k = 0
@@ -88,7 +90,16 @@ def candidates(text: str, taken: list[tuple[str, int, int]], least: int = 6) ->
             k += 1
         if b - a >= least and not any(s < b and e > a for s, e in spans[k : k + 4]):
             out.append((a, b))
-    return out
+    k = 0
+    for m in _GROUPS.finditer(text):
+        a, b = m.span()
+        if "(" in m[0][:2] and ")" not in m[0]:
+            a += m[0].index("(") + 1
+        while k < len(spans) and spans[k][1] <= a:
+            k += 1
+        if b - a >= least and _BLANK.search(text, a, b) and not any(s < b and e > a for s, e in spans[k : k + 4]):
+            out.append((a, b))
+    return sorted(out)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
@@ -125,31 +136,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return materialize(source.mapInArrow(run, schema), "pii-scan")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = 2, least_support: int = 4, least_share: float = 0.6, least_score: float = 0.9) -> DataFrame:
+def bootstrap(scanned: DataFrame, rounds: int | None = None, least_support: int = 4, least_share: float = 0.6, least_score: float = 0.9) -> DataFrame:
     """(kind, value, score) of identifiers that no base pattern finds.
 
     The graph has an edge for each distinct pattern and value that meet. In each round a pattern's confidence in a kind is the share of its
-    values known to be of that kind, each by its score, shrunk by one unknown value; it counts from ``least_support`` known values and ``least_share`` on. A value's score is
-    one minus the product of its confident patterns' doubts; unknown values from ``least_score`` on join the seeds of their best kind for the next round.
+    values known to be of that kind, base ones and those found before, each by its score, shrunk by one unknown value; it counts from ``least_support`` known values and ``least_share`` on. A value's score is
+    one minus the product of its confident patterns' doubts; values from ``least_score`` on join the seeds of their best kind, with the score they join with, for the rounds to come.
+    Rounds go on until one adds no value, or for ``rounds``.
     """
     flat = scanned.select(F.explode("seen").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
     edges = materialize(flat.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pii-edges")
-    known = edges.filter("kind is not null").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
-    found = known.limit(0)
-    totals = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count("kind").alias("seeds")), "pii-patterns").filter(F.col("seeds") >= least_support).filter(F.col("total") > F.col("seeds")).select("pattern", "total")
-    for _ in range(rounds):
-        support = edges.select("pattern", "value").join(totals, "pattern").join(known, "value").groupBy("pattern", "kind", "total").agg(F.sum("score").alias("hits"))
+    base = edges.filter("kind is not null").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
+    # a pattern of fewer values never has the support, one without unknown values finds none
+    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count("kind").alias("seeds")).filter((F.col("total") >= least_support) & (F.col("total") > F.col("seeds"))).select("pattern", "total")
+    live = materialize(edges.join(totals, "pattern"), "pii-live")
+
+    def hits(known: DataFrame) -> DataFrame:
+        return live.select("pattern", "value", "total").join(known, "value").groupBy("pattern", "kind", "total").agg(F.sum("score").alias("hits"))
+
+    found, support, done = base.limit(0), materialize(hits(base), "pii-support"), 0
+    while rounds is None or done < rounds:
         confident = support.withColumn("confidence", F.col("hits") / (F.col("total") + 1)).filter(F.col("hits") >= least_support).filter(F.col("confidence") >= least_share)
         confident = materialize(confident.select("pattern", "kind", "confidence"), "pii-confident")
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        scored = edges.filter("kind is null").select("pattern", "value").join(confident, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        scored = live.filter("kind is null").select("pattern", "value").join(confident, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
         best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).filter(F.col("b.score") >= least_score)
-        found = materialize(best.select("b.kind", "value", "b.score"), "pii-found")
-        known = known.filter(F.col("score") == 1.0).unionByName(found)
+        new = materialize(best.select("b.kind", "value", "b.score").join(found.select("value"), "value", "left_anti").select("kind", "value", "score"), "pii-new")
+        if new.isEmpty():
+            break
+        found = materialize(found.unionByName(new), "pii-found")
+        more = new.join(base.select("value"), "value", "left_anti")  # a value that is a base one elsewhere counts once
+        support = materialize(support.unionByName(hits(more)).groupBy("pattern", "kind", "total").agg(F.sum("hits").alias("hits")), "pii-support")
+        done += 1
     return found
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """Per row of ``docs``: id, base spans and all spans (base ones and occurrences of discovered identifiers), each an array of (kind, start, end).
 
     A null text is empty. Equal texts get equal spans. Repeated rows and ids stay rows of their own; other columns are not read.

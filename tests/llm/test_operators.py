@@ -165,6 +165,26 @@ def test_contexts_discover_identifiers(spark):
     assert pii.mask("to a@b.co now", [("email", 3, 9)]) == "to <email> now" and pii.mask(None, []) is None
 
 
+def test_discovered_identifiers_are_seeds(spark):
+    texts = [f"please write to mail: user{i}@site{i}.example.org today" for i in range(120)]
+    texts += [f"please write to mail: first_{i:03} today" for i in range(40)] + [f"you reach member first_{i:03} tonight" for i in range(40)]
+    texts += [f"you reach member second_{i:03} tonight" for i in range(10)] + [f"a badge of second_{i:03} here" for i in range(10)]
+    texts += [f"a badge of third_{i:03} here" for i in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter(r.value.split("_")[0] for r in pii.bootstrap(pii.scan(df)).collect())
+    assert got == {"first": 40, "second": 10, "third": 2}
+    assert {r.doc_id for r in pii.digest(df).collect() if r.spans} == set(range(len(texts)))
+
+
+def test_candidates_span_digit_groups(spark):
+    words = lambda t: [t[a:b] for a, b in pii.candidates(t, [])]
+    assert words("call (017) 555-7713, or 4000 0000 0000 0001.") == ["(017) 555-7713", "555-7713", "4000 0000 0000 0001"]
+    assert words("(017 555 7713) 12 3") == ["(017 555 7713) 12 3"] and words("(017 555 7713") == ["017 555 7713"] and words("a1 2 3b") == [] and words("1" * 50_000) == ["1" * 50_000]
+    texts = [f"please call +1 (743) 555-{i:04} now" for i in range(40)] + ["please call (017) 555-7713 now"]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[40] == "phone:12:26"
+
+
 def test_mix(odd, small):
     for df, cap in ((odd, 3), (small, 3)):
         rows = mixing.mix(df).collect()
