@@ -47,15 +47,8 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(F.abs(a) < 1e-12, share).otherwise(F.abs((1 + a - root) / (2 * a)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, cap: int = 3, whole_rows: bool = False) -> DataFrame:
-    """Deal every document its part of the mix. Columns: id, size, source_size, target, taken, copies, position; with ``whole_rows`` also _doc, a struct of the row.
-
-    A source's documents, in a fixed hash order, form a stream of its words that is read from the start again up to ``cap`` times until its
-    target is met: ``taken`` is how many words that takes of the document, repeats counted, so a source's words come to its target, rounded, and
-    no document gives more than ``cap`` times its size. ``copies`` is the same in whole documents (a pass counts if it reaches the document's middle). ``position`` is when in training
-    the document's first pass comes due: the source's share of demand up to there, through the inverse of its integrated weight schedule. Rows come range-sorted by position, untaken ones (null) last.
-    A null text has size 0; null sources are one source, last in order; sources of no words have target 0. Repeated rows count each. The same table gives the same mix.
-    """
+def _dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, cap: int = 3, whole_rows: bool = False) -> DataFrame:
+    """``mix`` without its order; with ``whole_rows`` also _doc, a struct of the row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order_hash(F.col(id_col), F.col(text_col)).alias("_h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")] if whole_rows else []))
     extra = ["_doc"] if whole_rows else []
     sizes = materialize(rows.drop("_doc"), "mix-sizes")
@@ -70,15 +63,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), p)) for p in passes[1:]), F.greatest(F.lit(0), F.least(F.col("size"), passes[0])))
     copies = sum((F.when(2 * p > F.col("size"), 1).otherwise(0) for p in passes[1:]), F.when(2 * passes[0] > F.col("size"), 1).otherwise(0))
     slope = F.element_at(F.array(*(F.lit(float(x)) for x in slopes)), ((F.col("place") % len(slopes)) + 1).cast("int"))
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("before") / F.col("target")))
-    out = counted.withColumn("taken", taken.cast("long")).withColumn("copies", copies.cast("int"))
-    out = out.withColumn("position", F.when(F.col("taken") > 0, position(share, slope)))
-    out = out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies", "position", *extra)
-    out = out if whole_rows else materialize(out, "mix")
+    due = [position(F.least(F.lit(1.0), (F.col("before") + whole * k) / F.col("target")), slope) for k in range(cap)]
+    positions = F.array_compact(F.array(*(F.when((F.col("target") > 0) & (F.least(F.col("size"), p) > 0), d) for p, d in zip(passes, due, strict=True))))
+    out = counted.withColumn("taken", taken.cast("long")).withColumn("copies", copies.cast("int")).withColumn("positions", positions)
+    out = out.withColumn("position", F.get("positions", F.lit(0)))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies", "position", "positions", *extra)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, cap: int = 3) -> DataFrame:
+    """Deal every document its part of the mix. Columns: id, size, source_size, target, taken, copies, position, positions.
+
+    A source's documents, in a fixed hash order, form a stream of its words that is read from the start again up to ``cap`` times until its
+    target is met: ``taken`` is how many words that takes of the document, repeats counted, so a source's words come to its target, rounded, and
+    no document gives more than ``cap`` times its size. ``copies`` is the same in whole documents (a pass counts if it reaches the document's middle). ``positions`` is when in training
+    each pass that takes words of the document comes due: the source's share of demand up to there, passes before counted in full, through the inverse of its integrated weight schedule; ``position`` is the first. Rows come range-sorted by position, untaken ones (null) last.
+    A null text has size 0; null sources are one source, last in order; sources of no words have target 0. Repeated rows count each. The same table gives the same mix.
+    """
+    out = materialize(_dealt(docs, id_col, text_col, source_col, weights, slopes, cap), "mix")
     return out.orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it in whole documents (0 to 3 times), range-sorted by training position."""
-    rows = mix(docs, id_col, text_col, source_col, whole_rows=True).filter("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select("_doc.*")
+    """The rows of ``docs``, each as often as the mix takes it in whole documents (0 to 3 times), every copy at the position of its own pass, range-sorted by training position."""
+    rows = _dealt(docs, id_col, text_col, source_col, whole_rows=True).filter("copies > 0")
+    rows = rows.withColumn("_pass", F.explode(F.expr("sequence(0, copies - 1)"))).withColumn("_at", F.get("positions", F.col("_pass")))
+    return rows.orderBy(F.col("_at").asc_nulls_last(), F.col(id_col), "_pass").select("_doc.*")

@@ -185,6 +185,24 @@ def test_candidates_span_digit_groups(spark):
     assert got[40] == "phone:12:26"
 
 
+def test_every_pass_has_its_position(spark):
+    rows = [(i, "a b c d", "a") for i in range(40)] + [(100 + i, "a b c d", "c") for i in range(40)] + [(200 + i, "a b c d", "b") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    mine = [r for r in got if r.doc_id < 100]
+    assert {(r.source_size, r.target, r.copies) for r in mine} == {(160, 480.0, 3)}
+    shares = sorted(t - 0.5 * (t * t - t) for r in mine for t in r.positions)
+    assert shares == pytest.approx([k / 120 for k in range(120)])
+    for r in got:
+        assert r.position == (r.positions[0] if r.positions else None) and r.positions == sorted(r.positions)
+        assert len(r.positions) == -(-r.taken // r.size)
+    ids = [r.doc_id for r in mixing.mixed(df).collect()]
+    due = sorted((t, r.doc_id) for r in got for t in r.positions[: r.copies])
+    assert ids == [i for _, i in due]
+    places = [k / len(ids) for k, i in enumerate(ids) if i < 100]
+    assert len(places) == 120 and max(places) > 0.95 and sum(p > 0.5 for p in places) > 30
+
+
 def test_mix(odd, small):
     for df, cap in ((odd, 3), (small, 3)):
         rows = mixing.mix(df).collect()
