@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from strandwise.functions import records as R
 from strandwise.operators import annotation, duplicates, intervals, pileup, qc, variants
 from strandwise.operators import records as X
+from strandwise.plans import catalog
 from strandwise.sources import bam, text
 from strandwise.streaming import events
 
+from .conftest import SMALL
+
 READS = "idx long, name string, flags int, contig int, pos int, mapq int, cigar string, tlen int, bases string, quals array<int>, library string, rg string, sample string, mate_contig int, mate_pos int, umi string, tile int, x int, y int, nm int"
 
 
@@ -219,6 +222,27 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert spark.table("firsts").count() == events.first_of_each(e, ["user_id", "event_type"]).count()
 
 
+def slow_clusters(edges):
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    return label
+
+
+def test_clusters_of_all_customers(spark):
+    path = [(i, i + 1) for i in range(20, 0, -1)] + [(30, 30), (40, 41), (41, 40)]
+    got = {r.node: r.label for r in annotation.clusters(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == slow_clusters(path)
+    keys = [r.c_custkey for r in spark.read.parquet(f"{SMALL}/customer.parquet").collect()]
+    edges = [(k, (k * 7 + 3) % 1500) for k in keys]
+    assert {r.node: r.label for r in catalog.QUERIES["cluster_crosscheck"](spark, SMALL).collect()} == slow_clusters(edges)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50)], "a long, b long")
     assert {r.node: r.label for r in annotation.clusters(e).collect()} == {i: 0 for i in range(21)} | {100: 50, 50: 50}
