@@ -100,12 +100,12 @@ def tiled_baits(targets: DataFrame, size: int = 120, offset: int = 80) -> DataFr
 def demultiplex(clusters: DataFrame, barcodes: DataFrame, max_mismatches: int = 1, min_delta: int = 1) -> DataFrame:
     """Assign each distinct observed barcode to the sheet's nearest one, if near enough and clearly nearer than the next; counts by barcode.
 
-    The sheet is one row a sample of a run, read to the driver under a limit; distances become one expression over its entries, so no pairs of clusters and barcodes are made.
+    The sheet, of any size, is one row with an array of its barcodes, sent to the observed ones; each keeps the two nearest, so no pairs of clusters and barcodes are made.
     """
-    sheet = sorted(r["barcode"] for r in barcodes.select("barcode").distinct().limit(5000).collect())
-    near = F.array(*(F.struct(F.levenshtein(F.col("barcode"), F.lit(b)).alias("d"), F.lit(b).alias("b")) for b in sheet))
+    sheet = barcodes.agg(F.collect_set("barcode").alias("sheet"))
     seen = clusters.groupBy("barcode").agg(F.count(F.lit(1)).alias("reads"), R.count_true(F.col("pf")).alias("pf_reads"))
-    x = seen.withColumn("s", F.array_sort(near)).withColumn("next", F.expr("if(size(s) > 1, s[1].d, 99)"))
+    x = seen.crossJoin(F.broadcast(sheet)).withColumn("s", F.transform("sheet", lambda b: F.struct(F.levenshtein("barcode", b).alias("d"), b.alias("b")))).drop("sheet")
+    x = x.withColumn("s", F.sort_array("s")).withColumn("s", F.array(F.get("s", F.lit(0)), F.get("s", F.lit(1)))).withColumn("next", F.expr("coalesce(s[1].d, 99)"))
     hit = F.when((F.expr("s[0].d") <= max_mismatches) & (F.col("next") - F.expr("s[0].d") >= min_delta), F.expr("s[0].b"))
     x = x.withColumn("assigned", F.coalesce(hit, F.lit("NNNN"))).withColumn("perfect", F.expr("s[0].d") == 0)
     return x.groupBy("assigned").agg(F.sum("reads").cast("long").alias("reads"), F.sum("pf_reads").cast("long").alias("pf_reads"), R.sum_if(F.col("perfect") & (F.col("assigned") != "NNNN"), F.col("reads")).alias("perfect_matches"))

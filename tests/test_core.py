@@ -243,6 +243,17 @@ def test_clusters_of_all_customers(spark):
     assert {r.node: r.label for r in catalog.QUERIES["cluster_crosscheck"](spark, SMALL).collect()} == slow_clusters(edges)
 
 
+def test_demultiplex_takes_any_sheet(spark):
+    rng = random.Random(3)
+    sheet = sorted({"".join(rng.choice("ACGT") for _ in range(14)) for _ in range(6000)})
+    picked = rng.sample(sheet, 60)
+    seen = [(b, True) for b in picked] + [("T" + picked[0][1:] if picked[0][0] != "T" else "A" + picked[0][1:], False), ("N" * 14, True)]
+    got = {r.assigned: (r.reads, r.pf_reads, r.perfect_matches) for r in annotation.demultiplex(spark.createDataFrame(seen, "barcode string, pf boolean"), spark.createDataFrame([(b,) for b in sheet], "barcode string")).collect()}
+    assert got == {b: (1, 1, 1) for b in picked} | {picked[0]: (2, 1, 1), "NNNN": (1, 1, 0)}
+    one = annotation.demultiplex(spark.createDataFrame([("ACGT", True), ("ACGA", True)], "barcode string, pf boolean"), spark.createDataFrame([("ACGT",)], "barcode string")).collect()
+    assert [tuple(r) for r in one] == [("ACGT", 2, 2, 1)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50)], "a long, b long")
     assert {r.node: r.label for r in annotation.clusters(e).collect()} == {i: 0 for i in range(21)} | {100: 50, 50: 50}
