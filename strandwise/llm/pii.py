@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,8 @@ _MARK = re.compile(r"[0-9@]")
 _GROUPS = re.compile(r"[+(]{0,2}[0-9]+(?:[ \t\xa0()./-]{1,3}[0-9]+)*")
 _BLANK = re.compile(r"[ \t\xa0]")
 _TRIM = "\"'`.,;:!?()[]{}<>|*#%$&="
-_WIDE = 96
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -90,25 +92,38 @@ def candidates(text: str, taken: list[tuple[str, int, int]], least: int = 6) ->
             k += 1
         if b - a >= least and not any(s < b and e > a for s, e in spans[k : k + 4]):
             out.append((a, b))
-    k = 0
-    for m in _GROUPS.finditer(text):
-        a, b = m.span()
-        if "(" in m[0][:2] and ")" not in m[0]:
-            a += m[0].index("(") + 1
-        while k < len(spans) and spans[k][1] <= a:
-            k += 1
-        if b - a >= least and _BLANK.search(text, a, b) and not any(s < b and e > a for s, e in spans[k : k + 4]):
-            out.append((a, b))
-    return sorted(out)
-
-
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: two words before it, and one before with one after; lower case, digits as 0. Words count in full up to a window of 96 characters."""
-    before = re.sub(r"[0-9]", "0", text[max(0, start - _WIDE) : start].lower()).split()
-    after = re.sub(r"[0-9]", "0", text[end : end + _WIDE].lower()).split()
-    one = before[-1] if before else "^"
-    two = before[-2] if len(before) > 1 else "^"
-    return [f"{two} {one} _", f"{one} _ {after[0] if after else '$'}"]
+    from_ = 0
+    for s, e in [*spans, (len(text), len(text))]:
+        for m in _GROUPS.finditer(text, from_, max(from_, s)):
+            a, b = m.span()
+            if "(" in m[0][:2] and ")" not in m[0]:
+                a += m[0].index("(") + 1
+            if b - a >= least and _BLANK.search(text, a, b):
+                out.append((a, b))
+        from_ = max(from_, e)
+    return sorted(set(out))
+
+
+def shape(value: str) -> str:
+    """The value with each digit as 0 and each run of letters as a."""
+    return _DIGIT.sub("0", _LETTERS.sub("a", value))
+
+
+def contexts(text: str, start: int, end: int, low: int = 0, high: int | None = None) -> list[str]:
+    """The lexical patterns of a span, from general to narrow; their first letter is their level. s: the value's shape, that with runs of digits as one, and that with the marks around it;
+    l and r: the collapsed shape with the word before or after; w: the two words before; b: the word before and the word after. Words count in full, in lower case, digits as 0;
+    they are looked for from ``low`` to ``high``, the ends of the neighbouring spans, beyond which ``<>`` stands for the neighbour."""
+    high = len(text) if high is None else high
+    before = _DIGIT.sub("0", " ".join(text[low:start].rsplit(None, 2)[-2:]).lower()).split()
+    after = _DIGIT.sub("0", " ".join(text[end:high].split(None, 1)[:1]).lower()).split()
+    edge = "<>" if low else "^"
+    one = before[-1] if before else edge
+    two = before[-2] if len(before) > 1 else edge if before else "^"
+    right = after[0] if after else "<>" if high < len(text) else "$"
+    full = shape(text[start:end])
+    small = re.sub("0+", "0", full)
+    marks = "".join("" if c.isspace() or c.isalnum() else c for c in (text[start - 1 : start], "_", text[end : end + 1]))
+    return list(dict.fromkeys([f"s{full}", f"s~{small}", f"s{marks}{full}", f"l{one} {small}", f"r{small} {right}", f"w{two} {one} _", f"b{one} _ {right}"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +143,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     spans = base_spans(text)
                     base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                     every = spans + [(None, a, b) for a, b in candidates(text, spans)]
-                    seen.append([{"kind": k, "start": a, "end": b, "value": text[a:b].lower(), "patterns": contexts(text, a, b)} for k, a, b in every])
+                    begins, ends = sorted(a for _, a, _ in every), sorted(b for _, _, b in every)
+                    found = []
+                    for k, a, b in every:
+                        i, j = bisect.bisect_right(ends, a), bisect.bisect_left(begins, b)
+                        near = contexts(text, a, b, ends[i - 1] if i else 0, begins[j] if j < len(begins) else len(text))
+                        found.append({"kind": k, "start": a, "end": b, "value": text[a:b].lower(), "patterns": near})
+                    seen.append(found)
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(base, base_type), pa.array(seen, seen_type)], names=["id", "row", "base", "seen"])
 
     source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -136,48 +157,54 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return materialize(source.mapInArrow(run, schema), "pii-scan")
 
 
-def bootstrap(scanned: DataFrame, rounds: int | None = None, least_support: int = 4, least_share: float = 0.6, least_score: float = 0.9) -> DataFrame:
-    """(kind, value, score) of identifiers that no base pattern finds.
+def known(scanned: DataFrame, rounds: int | None = None, least_support: int = 4, least_share: float = 0.4, least_score: float = 0.65, hidden: str | None = None) -> DataFrame:
+    """(kind, value, score, seed) of the seeds (score 1) and of the identifiers that their patterns bring in.
 
-    The graph has an edge for each distinct pattern and value that meet. In each round a pattern's confidence in a kind is the share of its
-    values known to be of that kind, base ones and those found before, each by its score, shrunk by one unknown value; it counts from ``least_support`` known values and ``least_share`` on. A value's score is
-    one minus the product of its confident patterns' doubts; values from ``least_score`` on join the seeds of their best kind, with the score they join with, for the rounds to come.
-    Rounds go on until one adds no value, or for ``rounds``.
+    The graph has an edge for each distinct pattern and value that meet; seeds are the values of base spans (of one that has two kinds, the first by name). In each round a pattern's confidence in a kind is the share of its
+    values known to be of that kind, seeds and those found before, each by its score, shrunk by one unknown value; it counts from ``least_support`` known values and ``least_share`` on. A value's score is
+    one minus the product of its doubts, one doubt for each level of pattern: that of its most confident one. Values from ``least_score`` on join the seeds of their best kind, with the score they join with, for the rounds to come.
+    Rounds go on until one adds no value, or for ``rounds``. ``hidden``, a condition on kind and value, takes seeds away, to measure how many come back.
     """
     flat = scanned.select(F.explode("seen").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
     edges = materialize(flat.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pii-edges")
-    base = edges.filter("kind is not null").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
+    base = edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
+    base = materialize((base.filter(f"not ({hidden})") if hidden else base).select("kind", "value", "score"), "pii-seeds")
+    marked = edges.select("pattern", "value").join(base.select("kind", "value"), "value", "left")
     # a pattern of fewer values never has the support, one without unknown values finds none
-    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count("kind").alias("seeds")).filter((F.col("total") >= least_support) & (F.col("total") > F.col("seeds"))).select("pattern", "total")
-    live = materialize(edges.join(totals, "pattern"), "pii-live")
+    totals = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count("kind").alias("seeds")).filter((F.col("total") >= least_support) & (F.col("total") > F.col("seeds"))).select("pattern", "total")
+    live = materialize(marked.join(totals, "pattern"), "pii-live")
 
     def hits(known: DataFrame) -> DataFrame:
-        return live.select("pattern", "value", "total").join(known, "value").groupBy("pattern", "kind", "total").agg(F.sum("score").alias("hits"))
+        return live.select("pattern", "value", "total").join(known.select("value", "kind", "score"), "value").groupBy("pattern", "kind", "total").agg(F.sum("score").alias("hits"))
 
-    found, support, done = base.limit(0), materialize(hits(base), "pii-support"), 0
+    found, support, done = base.withColumn("seed", F.lit(True)), materialize(hits(base), "pii-support"), 0
     while rounds is None or done < rounds:
-        confident = support.withColumn("confidence", F.col("hits") / (F.col("total") + 1)).filter(F.col("hits") >= least_support).filter(F.col("confidence") >= least_share)
+        confident = support.withColumn("confidence", F.col("hits") / (F.col("total") + 1)).filter((F.col("hits") >= least_support) & (F.col("confidence") >= least_share))
         confident = materialize(confident.select("pattern", "kind", "confidence"), "pii-confident")
-        doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        scored = live.filter("kind is null").select("pattern", "value").join(confident, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        levels = live.filter("kind is null").select("pattern", "value").join(confident, "pattern").groupBy("value", "kind", F.substring("pattern", 1, 1).alias("level")).agg(F.max("confidence").alias("c"))
+        scored = levels.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("c"), F.lit(0.999)))))).alias("score"))
         best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).filter(F.col("b.score") >= least_score)
-        new = materialize(best.select("b.kind", "value", "b.score").join(found.select("value"), "value", "left_anti").select("kind", "value", "score"), "pii-new")
+        new = materialize(best.select("b.kind", "value", "b.score").join(found.select("value"), "value", "left_anti").select("kind", "value", "score", F.lit(False).alias("seed")), "pii-new")
         if new.isEmpty():
             break
         found = materialize(found.unionByName(new), "pii-found")
-        more = new.join(base.select("value"), "value", "left_anti")  # a value that is a base one elsewhere counts once
-        support = materialize(support.unionByName(hits(more)).groupBy("pattern", "kind", "total").agg(F.sum("hits").alias("hits")), "pii-support")
+        support = materialize(support.unionByName(hits(new)).groupBy("pattern", "kind", "total").agg(F.sum("hits").alias("hits")), "pii-support")
         done += 1
     return found
 
 
+def bootstrap(scanned: DataFrame, rounds: int | None = None, **settings) -> DataFrame:
+    """(kind, value, score) of the identifiers that ``known`` adds to its seeds."""
+    return known(scanned, rounds, **settings).filter("not seed").drop("seed")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """Per row of ``docs``: id, base spans and all spans (base ones and occurrences of discovered identifiers), each an array of (kind, start, end).
 
-    A null text is empty. Equal texts get equal spans. Repeated rows and ids stay rows of their own; other columns are not read.
+    A seed's value that stands elsewhere out of a base span (in a longer run that failed its test) is found there too. A null text is empty. Equal texts get equal spans. Repeated rows and ids stay rows of their own; other columns are not read.
     """
     scanned = scan(docs, id_col, text_col)
-    found = bootstrap(scanned, rounds)
+    found = known(scanned, rounds)
     order = F.expr("array_position(array('email', 'ip', 'card', 'phone'), kind)")
     places = scanned.select("row", F.explode("seen").alias("s")).filter("s.kind is null").select("row", "s.start", "s.end", "s.value").join(found.select("kind", "value"), "value")
     extra = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(order.alias("rank"), "start", "kind", "end"))).alias("more"))
