@@ -14,6 +14,9 @@ from .work import ship
 
 WINDOW = 3
 SURGE = 86
+#: The most that a menu entry weighs, and how many times a line in an article element counts.
+ENTRY = 12
+BOOST = 4
 
 # Elements of HTML by what they mean here, and names that pages give to what is no article.
 _RAW = "script|style|title|textarea|noscript|template|iframe|svg|object|canvas|audio|video|select|datalist|math"
@@ -49,16 +52,16 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article or main element) for each block of the page, in order; a block set aside or all links has weight 0."""
+def lines(page: str) -> list[tuple[str, int, str]]:
+    """(text, characters outside links, cue) for each block of the page, in order. The cue says what the markup hints at: ``aside`` (an element set aside is one line), ``article`` (in an article or main element) or ``open``."""
     tokens = list(_TOKEN.finditer(page))
     last_close: dict[str, int] = {}
     for t in tokens:
         if t[2] or t[5]:
             last_close[(t[3] or t[6]).lower()] = t.start()
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, str]] = []
     parts: list[str] = []
-    plain = False
+    plain = 0
     dropped, depth, links = "", 0, 0
     article = main = 0
     end = 0
@@ -67,14 +70,15 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal parts, plain
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, 0 if dropped else len(text) if plain else 0, bool(not dropped and (article or main))))
-        parts, plain = [], False
+            out.append((text, min(plain, len(text)), "aside" if dropped else "article" if article or main else "open"))
+        parts, plain = [], 0
 
     for t in [*tokens, None]:
         text = page[end : t.start() if t else len(page)]
         if text:
             parts.append(text)
-            plain = plain or (not links and not text.isspace())
+            if not links:
+                plain += len(text.strip())
         if t is None:
             break
         end = t.end()
@@ -94,7 +98,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     close()
                     dropped = ""
             elif tag not in _INLINE:
-                close()
+                parts.append(" ")
             continue
         if not shut and tag not in _VOID and last_close.get(tag, -1) > end - 1 and _set_aside(tag, t[4] or t[7] or "", article > 0):
             close()
@@ -114,29 +118,66 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def weigh(found: list[tuple[str, int, str]]) -> list[int]:
+    """The weight of each line: its characters outside links; none if links take most of it. Cues only shift it: a line in an article counts ``BOOST`` times and an
+    entry more (links too are an entry there), one set aside never counts more than an entry."""
+    out = []
+    for text, plain, cue in found:
+        size = plain if 2 * plain >= len(text) else 0
+        out.append(min(size, ENTRY) if cue == "aside" else ENTRY + BOOST * size if cue == "article" else size)
+    return out
+
+
 def main_text(page: str | None) -> str:
     r"""The article of a page: its blocks joined by ``\n\n``; none: empty.
 
-    Each block is a line. Lines set aside count as empty; if some lines stand in article elements, only those count, and each more by the surge threshold, so that
-    short paragraphs don't end the text. Where the sum of a window of lines from a counted line on reaches the threshold (or the page's largest sum,
-    if smaller), text surges; it dives at a whole window of empty lines. All counted lines between are kept.
+    Each block is a line, and the weights of ``WINDOW`` lines are summed at every line of the page. Text surges at a line some window of which reaches the threshold (higher
+    on pages with article elements; or the largest sum of a line that may be text, if smaller). It dives, to either side, where a whole window of lines weighs no more than an entry each: menus, lists of
+    links, elements set aside; short lines of words next to the text belong to it. Between the dives around a surge every line is kept but those outside the articles, if there are any, that weigh little against the
+    threshold, and links at either end where no article element holds them.
     """
     found = lines(page or "")
-    inside = any(x for _, _, x in found)
-    weights = [(w if w else (len(t) if x else 0)) + SURGE if inside and x else 0 if inside else w for t, w, x in found]
+    weights = weigh(found)
+    marked = any(cue == "article" for _, _, cue in found)
+    best = [cue == ("article" if marked else "open") for _, _, cue in found]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surge = min(SURGE, max(sums, default=0))
-    kept, on = [], False
-    for i, (text, _, _) in enumerate(found):
-        if not on and weights[i] and sums[i] >= surge:
-            on = True
-        elif on and not sums[i]:
-            on = False
-        if on and weights[i]:
-            kept.append(text)
+    peaks = [max(sums[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(sums))]
+    surge = min(SURGE * (BOOST if marked else 1), max((p for p, b, w in zip(peaks, best, weights, strict=True) if b and w), default=0))
+    text = [b or (w > ENTRY and w * WINDOW >= surge) for b, w in zip(best, weights, strict=True)]
+    words = [b and 2 * plain >= len(t) for b, (t, plain, _) in zip(best, found, strict=True)]
+    kept: list[str] = []
+    done = 0
+    for a, b in _between_dives([t and w > ENTRY for t, w in zip(text, weights, strict=True)]):
+        if not any(text[i] and weights[i] and peaks[i] >= surge for i in range(a, b)):
+            continue
+        while a > done and words[a - 1]:
+            a -= 1
+        while b < len(found) and words[b]:
+            b += 1
+        ends = [i for i in range(max(a, done), b) if text[i] and (marked or weights[i])]
+        if ends:
+            kept += [found[i][0] for i in range(ends[0], ends[-1] + 1) if text[i]]
+        done = b
     return "\n\n".join(kept)
 
 
+def _between_dives(strong: list[bool]) -> list[tuple[int, int]]:
+    """Ranges of lines between runs of ``WINDOW`` or more lines that are not strong; a page of none is one range, shorter runs at its ends belong to it."""
+    out, start, at, n = [], 0, 0, len(strong)
+    while at < n:
+        run = at
+        while run < n and not strong[run]:
+            run += 1
+        if run - at >= WINDOW and run - at < n:
+            if at > start:
+                out.append((start, at))
+            start = run
+        at = run + 1
+    if start < n:
+        out.append((start, n))
+    return out
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for each row of ``pages``; null and empty pages have empty text. Unclosed tags, comments and scripts end at the page's end or are
     passed over. Repeated rows stay; other columns are not read. No shuffle."""

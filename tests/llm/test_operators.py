@@ -176,6 +176,36 @@ def test_discovered_identifiers_are_seeds(spark):
     assert {r.doc_id for r in pii.digest(df).collect() if r.spans} == set(range(len(texts)))
 
 
+def test_hidden_seeds_come_back(spark):
+    """Of three tenths of the seeds of the documents, taken away, all of some kinds come back, and none as another kind; without rounds nothing is added."""
+    scanned = pii.scan(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    everything, hidden = pii.known(scanned), "pmod(xxhash64(value), 10) < 3"
+    truth = {r.value: r.kind for r in everything.filter("seed").collect()}
+    away = {r.value for r in everything.filter("seed").filter(hidden).collect()}
+    back = {r.value: r.kind for r in pii.bootstrap(scanned, hidden=hidden).collect()}
+    for kind in ("email", "ip", "phone"):
+        mine = {v for v in away if truth[v] == kind}
+        assert len(mine) > 30 and len(mine & {v for v, k in back.items() if k == kind}) >= 0.9 * len(mine)
+    seen = [v for v in back if v in truth]
+    assert sum(back[v] == truth[v] for v in seen) >= 0.98 * len(seen)
+    assert everything.filter("not seed").count() > 20 and pii.known(scanned, rounds=0).filter("not seed").count() == 0
+
+
+def test_plain_numbers_stay(spark):
+    """Numbers of a shape that few seeds have, and other words with digits, aren't taken for identifiers."""
+    texts = [f"pay with {4000000000000000 + x} now" for x in range(0, 400) if pii.luhn(str(4000000000000000 + x))] + [f"order {7000000000000000 + 37 * x} shipped" for x in range(300)] + [f"version v{x}.2 of 2024-01-{x % 28 + 1:02}" for x in range(100)]
+    texts += ["ip 1.2.3.400 or a@b", None, "", "x" * 200_000 + " 4000000000000002"]
+    got = pii.bootstrap(pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert got == []
+
+
+def test_contexts_take_whole_words():
+    text = "a" * 300 + " " + "b" * 200 + " 10.0.0.1 " + "c" * 400 + " d"
+    got = pii.contexts(text, 502, 510)
+    assert f"w{'a' * 300} {'b' * 200} _" in got and f"r0.0.0.0 {'c' * 400}" in got and "s00.0.0.0" in got
+    assert pii.contexts("x@y.z,10.0.0.1", 6, 14, 5) == ["s00.0.0.0", "s~0.0.0.0", "s,_00.0.0.0", "l, 0.0.0.0", "r0.0.0.0 $", "w<> , _", "b, _ $"]
+
+
 def test_candidates_span_digit_groups(spark):
     words = lambda t: [t[a:b] for a, b in pii.candidates(t, [])]
     assert words("call (017) 555-7713, or 4000 0000 0000 0001.") == ["(017) 555-7713", "555-7713", "4000 0000 0000 0001"]
@@ -350,6 +380,28 @@ def test_main_text():
         html_text.main_text(bad)
 
 
+LONG = "Long sentences make the text surge here, and surge again. " * 3
+
+
+def test_line_blocks_decide():
+    """Without article elements the sums find the text; within one a run of links ends it; markup alone would do neither."""
+    menu = "".join(f"<div><a href=/{i}>Entry number {i} of a long menu of links</a></div>" for i in range(6))
+    page = f"{menu}<p>Intro</p><p>{LONG}</p><p>Yes.</p><p>{LONG}</p>{menu}<div>Imprint</div>"
+    assert html_text.main_text(page).split("\n\n") == ["Intro", LONG.strip(), "Yes.", LONG.strip()]
+    inside = f"<div>Buy now, only today</div><article><h1>Head</h1><p>{LONG}</p><p><a href=x>One link</a></p><p>End.</p>{menu}<p>More</p></article><div>Offers of our partners</div>"
+    assert html_text.main_text(inside).split("\n\n") == ["Head", LONG.strip(), "One link", "End."]
+    assert len([1 for _, _, cue in html_text.lines(inside) if cue == "article"]) == 11
+    assert html_text.main_text(f"<article><p>Short.</p></article><p>{LONG * 3}</p>").startswith("Short.")
+    assert html_text.main_text("<nav>a long menu of many words</nav><footer>and a long footer, too</footer>") == ""
+    assert html_text.main_text("<p>Ok</p>") == "Ok" and html_text.main_text(menu) == ""
+
+
+def test_line_blocks_change_the_pages(spark):
+    for p in table("pages").itertuples():
+        every = "\n\n".join(text for text, _, _ in html_text.lines(p.html))
+        assert html_text.main_text(p.html) != every
+
+
 def test_extract_pages(spark):
     pages = table("pages")
     got = {r.page_id: r for r in html_text.extract(spark.read.parquet(f"{SMALL}/pages.parquet")).collect()}
@@ -362,6 +414,7 @@ def test_extract_pages(spark):
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want) and got[p.page_id].url == p.url
     odd = spark.createDataFrame([(1, None, None, 5), (1, "u", "", None), (None, "u", "x", 1)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in html_text.extract(odd).collect()) == ["", "", "x"]
+    assert html_text.extract(odd.limit(0)).count() == 0 and html_text.extract(odd.union(odd)).count() == 6
 
 
 def test_archives(spark):
