@@ -14,9 +14,10 @@ from .work import materialize, order_hash, ship
 
 ORDERS = (4, 5, 6)
 BITS = 20
-#: Bounds of the training sample and of the features that the linear model keeps.
-MAX_ROWS_PER_CLASS = 12_000
-MAX_FEATURES = 4_096
+#: Bound of the training sample: so many labelled texts of each class at most. Features have no bound but that of their hash, 2^20.
+MAX_ROWS_PER_CLASS = 2_000
+EPOCHS = 6
+RATE = 0.5
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -34,51 +35,52 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
         yield h >> np.uint32(32 - BITS)
 
 
+def features(text: str | None) -> np.ndarray:
+    """The distinct hashed n-grams of the text."""
+    found = list(grams(text))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+
+
 @dataclass(frozen=True)
 class Model:
-    """``slot``: for each hash its feature or -1; ``ratio``: the log-count ratios; ``weight``: the linear weights of the scaled features."""
+    """For each hash ``ratio``, its log-count ratio, which scales it, and ``weight``, the linear weight of the scaled feature; ``bias``."""
 
-    slot: np.ndarray
     ratio: np.ndarray
     weight: np.ndarray
     bias: float
 
-    def features(self, text: str | None) -> np.ndarray:
-        """The kept features that occur in the text, each once."""
-        found = []
-        for h in grams(text):
-            s = self.slot[h]
-            found.append(s[s >= 0])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
-
     def score(self, text: str | None) -> float:
-        f = self.features(text)
-        return float(1 / (1 + np.exp(-np.clip((self.weight[f] * self.ratio[f]).sum() + self.bias, -60, 60))))
-
-
-def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, alpha: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Naive Bayes log ratios of the shares of toxic and other texts that have a feature, and their z scores."""
-    p, q = (pos + alpha) / (n_pos + 2 * alpha), (neg + alpha) / (n_neg + 2 * alpha)
-    ratio = np.log(p / q)
-    return ratio, ratio / np.sqrt(1 / (pos + alpha) + 1 / (neg + alpha))
-
-
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 2e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled binary features, both classes of equal weight, by Adam on all rows."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    x = ratio[cols]
-    each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-    w, b = np.full(len(ratio), 0.1), 0.0
-    m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
-    for t in range(1, steps + 1):
-        z = np.bincount(owner, x * w[cols], len(rows)) + b
-        g = each * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        grad = np.append(np.bincount(cols, x * g[owner], len(ratio)) + l2 * w, g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        """The logistic of the weighted features, of which each text has a vector of length 1 (of length 0 without a feature known from training)."""
+        f = features(text)
+        x = self.ratio[f]
+        return float(1 / (1 + np.exp(-np.clip((self.weight[f] * x).sum() / (np.sqrt((x * x).sum()) + 1e-9) + self.bias, -60, 60))))
+
+
+def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, alpha: float = 0.5) -> np.ndarray:
+    """Naive Bayes log ratios of the shares of toxic and other texts that have a feature, shrunk smoothly where counts are small: by (z^2 / (z^2 + 10))^4, z being the ratio in standard errors.
+    No feature is left out; one of no text has 0."""
+    ratio = np.log((pos + alpha) / (n_pos + 2 * alpha)) - np.log((neg + alpha) / (n_neg + 2 * alpha))
+    square = ratio**2 / (1 / (pos + alpha) + 1 / (neg + alpha))
+    return np.where(pos + neg > 0, ratio * (square / (square + 10)) ** 4, 0.0)
+
+
+class Fit:
+    """Logistic regression on the scaled features by AdaGrad, a text at a time: memory is that of the weights, however many texts come. Both classes have equal weight in all."""
+
+    def __init__(self, ratio: np.ndarray, n_pos: int, n_neg: int) -> None:
+        self.ratio, self.weight, self.seen = ratio, np.zeros(len(ratio)), np.full(len(ratio), 1e-8)
+        self.bias, self.bias_seen = 0.0, 1e-8
+        self.each = {1: 0.5 * (n_pos + n_neg) / n_pos, 0: 0.5 * (n_pos + n_neg) / n_neg}
+
+    def step(self, f: np.ndarray, y: int) -> None:
+        x = self.ratio[f]
+        x = x / (np.sqrt((x * x).sum()) + 1e-9)
+        z = (self.weight[f] * x).sum() + self.bias
+        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * self.each[y]
+        self.seen[f] += (g * x) ** 2
+        self.weight[f] -= RATE * g * x / np.sqrt(self.seen[f])
+        self.bias_seen += g * g
+        self.bias -= RATE * g / np.sqrt(self.bias_seen)
 
 
 def fold(id_col: str = "doc_id"):
@@ -86,12 +88,12 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS_PER_CLASS, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS_PER_CLASS, epochs: int = EPOCHS) -> Model:
     """Fit on the labelled rows that are not held out: at most ``max_rows`` of each class, the first in hash order of their id.
 
-    A repeated label counts once, the larger one; null labels and ids are left out. Two passes over the sample: the first sums per
-    feature in how many texts of each class it occurs, partly aggregated, at most 2^20 sums; the second gathers the kept features of each sampled text.
-    Without a row of either class every text gets the share of toxic labels, at least a thousandth.
+    A repeated label counts once, the larger one; of rows with one id the text with the smallest hash is taken; null labels and ids are left out. One distributed pass over the sample sums per
+    feature in how many texts of each class it occurs, at most 2^20 sums, none left out. Then one task streams the sample in a fixed hash order, ``epochs`` times, and updates the weights text by text; it holds
+    no more than them. Without a row of either class every text gets the share of toxic labels, at least a thousandth.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -99,15 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.filter(fold("id") != 0)
     sample = known.filter("y = 1").orderBy(order_hash(F.col("id"))).limit(max_rows).unionByName(known.filter("y = 0").orderBy(order_hash(F.col("id"))).limit(max_rows))
     sample = F.broadcast(materialize(sample, "toxicity-labels"))  # at most 2 * max_rows rows of an id and a bit
-    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id").select("text", "y"), "toxicity-texts")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id")
+    texts = materialize(texts.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.crc32("text"))).alias("text")), "toxicity-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen = [np.unique(h) for h in grams(text.as_py())]
-                for h in seen:
-                    sums[y, h] += 1
+                sums[y, features(text.as_py())] += 1
         at = np.flatnonzero(sums.sum(axis=0))
         for i in range(0, len(at), 50_000):
             k = at[i : i + 50_000]
@@ -115,28 +116,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    slot = np.full(1 << BITS, -1, np.int32)
     if not n_pos or not n_neg:
         odds = max((n_pos + 0.001) / (n_pos + n_neg + 1), 0.001)
-        return Model(slot, np.zeros(0), np.zeros(0), float(np.log(odds / (1 - min(odds, 0.999)))))
-    sums = texts.mapInArrow(count, "h int, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 3").toArrow()
-    ratio, z = log_count_ratios(sums.column("pos").to_numpy(), sums.column("neg").to_numpy(), n_pos, n_neg)
-    best = np.argsort(-np.abs(z), kind="stable")[:max_features]
-    hashes = sums.column("h").to_numpy()[best]
-    by = np.argsort(hashes)
-    slot[hashes[by]] = np.arange(len(by), dtype=np.int32)
-    kept = Model(slot, ratio[best][by], np.zeros(len(by)), 0.0)
-    shared = spark.sparkContext.broadcast(kept)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.log(odds / (1 - min(odds, 0.999)))))
+    sums = texts.select("text", "y").mapInArrow(count, "h int, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    pos[sums.column("h").to_numpy()], neg[sums.column("h").to_numpy()] = sums.column("pos").to_numpy(), sums.column("neg").to_numpy()
+    ratio = log_count_ratios(pos, neg, n_pos, n_neg)
+    shared = spark.sparkContext.broadcast(ratio)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Fit(shared.value, n_pos, n_neg)
         for batch in batches:
-            yield pa.record_batch([batch.column(1), pa.array([shared.value.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32()))], names=["y", "f"])
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                state.step(features(text.as_py()), y)
+        yield pa.record_batch([pa.array([state.weight.tobytes()], pa.binary()), pa.array([state.bias])], names=["weight", "bias"])
 
-    rows = texts.mapInArrow(gather, "y int, f array<int>").toArrow()
-    feats = [f.values.to_numpy() for f in rows.column("f")]
-    order = sorted(range(len(feats)), key=lambda i: (rows.column("y")[i].as_py(), feats[i].tobytes()))
-    weight, bias = fit_linear([feats[i] for i in order], rows.column("y").to_numpy()[order].astype(float), kept.ratio)
-    return Model(slot, kept.ratio, weight, bias)
+    order = ["epoch", F.xxhash64(F.lit("fit"), "epoch", "id"), "id"]
+    stream = texts.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions(*order).select("text", "y")
+    got = stream.mapInArrow(fit, "weight binary, bias double").collect()[0]
+    return Model(ratio, np.frombuffer(bytes(got["weight"])), got["bias"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -315,6 +315,57 @@ def test_toxicity(spark, small, odd):
     assert toxicity.drop_toxic(odd, nothing).columns == odd.columns
 
 
+def slow_grams(text):
+    raw = b" " + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode() + b" "
+    out = set()
+    for n in (4, 5, 6):
+        for i in range(len(raw) - n + 1):
+            h = n
+            for b in raw[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+            out.add((h * 0x9E3779B1 & 0xFFFFFFFF) >> 12)
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Ratios and weights recomputed with dicts, in the order of training; an id that occurs twice is one row of the sample, and its bound holds."""
+    words = "you are nice kind awful rotten table chair green".split()
+    texts = {i: " ".join(words[(i * 7 + j * j * (1 + i % 3)) % 9] for j in range(8)) for i in range(60)}
+    labels = {i: int("awful" in texts[i]) for i in texts if i % 7}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] * 3 + [(None, None, "x"), (99, None, "x")], "doc_id long, text string, id string")
+    marks = spark.createDataFrame([(i, y) for i, y in labels.items()] + [(None, 1), (5, None), (1000, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    train = [i for i in labels if zlib.crc32(str(i).encode()) % 5]
+    grams = {i: slow_grams(texts[i]) for i in texts}
+    n = Counter(labels[i] for i in train)
+    seen = [Counter(g for i in train if labels[i] == y for g in grams[i]) for y in (0, 1)]
+    ratio = {g: np.log((seen[1][g] + 0.5) / (n[1] + 1)) - np.log((seen[0][g] + 0.5) / (n[0] + 1)) for g in seen[0] | seen[1]}
+    zz = {g: r * r / (1 / (seen[1][g] + 0.5) + 1 / (seen[0][g] + 0.5)) for g, r in ratio.items()}
+    ratio = {g: r * (zz[g] / (zz[g] + 10)) ** 4 for g, r in ratio.items()}
+    F = toxicity.F
+    keys = spark.createDataFrame([(i, e) for i in train for e in range(1, 7)], "id long, epoch int")
+    order = [(r.id, labels[r.id]) for r in keys.orderBy("epoch", F.xxhash64(F.lit("fit"), "epoch", "id"), "id").collect()]
+    w, squares, bias, bias_squares = Counter(), Counter(), 0.0, 1e-8
+    for i, y in order:
+        norm = sum(ratio[g] ** 2 for g in grams[i]) ** 0.5 + 1e-9
+        z = sum(w[g] * ratio[g] / norm for g in grams[i]) + bias
+        err = (1 / (1 + np.exp(-z)) - y) * len(train) / 2 / n[y]
+        for g in grams[i]:
+            squares[g] += (err * ratio[g] / norm) ** 2
+            w[g] -= 0.5 * err * ratio[g] / norm / (squares[g] + 1e-8) ** 0.5
+        bias_squares += err * err
+        bias -= 0.5 * err / bias_squares**0.5
+    want = {}
+    for i in texts:
+        known = [g for g in grams[i] if g in ratio]
+        z = sum(w[g] * ratio[g] for g in known) / (sum(ratio[g] ** 2 for g in known) ** 0.5 + 1e-9) + bias
+        want[i] = 1 / (1 + np.exp(-z))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in texts) and got[99] == got[None] == pytest.approx(1 / (1 + np.exp(-bias)))
+    few = toxicity.train(docs, marks, max_rows=1)
+    assert few.weight.any() and toxicity.train(docs.limit(0), marks).bias < 0
+
+
 def test_toxicity_ignores_held_out_labels(spark, small):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     flipped = labels.withColumn("toxic", toxicity.F.when(toxicity.fold() == 0, 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
