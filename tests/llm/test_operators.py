@@ -397,21 +397,32 @@ def slow_hits(text, items):
     return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 1500])
+@pytest.mark.parametrize("limit", [2_000_000, 150])
 def test_contamination(spark, odd, small, limit):
     items = [(1, "It went away"), (10, "the Cat sat on the mat and then it went"), (2, None), (3, "!!"), (None, "unicode text é")] + [(r.item_id, r.text) for r in table("benchmark").itertuples()]
     bench = spark.createDataFrame(items, "item_id long, text string")
     named = [("null" if i is None else i, t) for i, t in items]
     for df in (odd, small.limit(60), odd.limit(0)):
-        judged = decontam.judge(decontam.find_hits(df, bench, max_broadcast_bytes=limit)).collect()
+        judged = decontam.judge(decontam.find_hits(df, bench, max_windows=limit)).collect()
         got = Counter((r.id, r.n_words, r.n_hit, r.n_items, decontam.items_digest(r["items"]), r.contaminated) for r in judged)
         assert got == Counter((r.doc_id, *slow_hits(r.text, named)) for r in df.collect())
-    kept = decontam.remove_contaminated(odd, bench)
+    assert (len(decontam._slices(bench, 13, limit)) > 1) == (limit == 150)
+    odd = odd.withColumn("row", odd["size"]).withColumn("_row", odd["id"]).withColumn("doc", odd["lang"])
+    kept = decontam.remove_contaminated(odd, bench, max_windows=limit)
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in odd.collect() if not slow_hits(r.text, named)[-1])
     assert decontam.remove_contaminated(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_an_item_over_the_bound_is_cut(spark):
+    long = " ".join(f"w{i * i % 97}" for i in range(400))
+    bench = spark.createDataFrame([(1, long), (2, "short item")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 5 + " ".join(long.split()[180:240])), (2, "a Short ITEM"), (3, long)], "doc_id long, text string")
+    whole, cut = (sorted(map(tuple, decontam.contamination(docs, bench).collect())), decontam.judge(decontam.find_hits(docs, bench, max_windows=40)))
+    assert sorted((r.id, r.n_words, r.n_hit, r.n_items, decontam.items_digest(r["items"]), r.contaminated) for r in cut.collect()) == whole
+    assert max(sum(max(1, len(r.text.split()) - 12) for r in part.collect()) for part in decontam._slices(bench, 13, 40)) <= 80
+
+
 def test_remove_spans():
     assert decontam.remove_spans("One, two; THREE four.", [(1, 3)]) == "One, four." and decontam.remove_spans(None, [(0, 1)]) is None
 
