@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Spark's own writers would give it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(conf).makeQualified(found).toString()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and reread it: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession

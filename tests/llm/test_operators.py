@@ -489,10 +489,21 @@ def test_archives(spark):
     want = Counter((d, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if d == last[h or ""] else "revisit", None if d == last[h or ""] else last[h or ""]) for d, _, h in rows)
     assert Counter(map(tuple, warc.round_trip(pages).collect())) == want
     assert warc.round_trip(pages.limit(0)).count() == 0
-    archives = warc.write(pages, archive_bytes=200)
-    blocks = warc.index(archives, lines_per_block=2)
-    found = warc.lookup(spark, blocks, archives, ["http://a.com/x", "http://b.com/y?q", "http://none.com/"])
-    assert sorted(x["warc-record-id"] for x in found) == [f"<{warc.ID}1>", f"<{warc.ID}2>", f"<{warc.ID}>"]
+    captures = warc.write(pages, archive_bytes=200)
+    blocks = warc.index(captures, lines_per_block=2)
+    assert blocks.count() > 2 and captures.select("archive").distinct().count() > 2
+    asked = spark.createDataFrame([("http://a.com/x",), ("http://b.com/y?q",), ("http://none.com/",), ("http://b.com/y?q",)], "url string")
+    found = warc.lookup(blocks, asked).collect()
+    assert sorted((r.id is None, r.id, r.record_type, bytes(r.payload or b"")) for r in found) == [(False, 1, "revisit", b""), (False, 2, "response", b"hi"), (True, None, "revisit", b"")]
+    assert {r.id for r in warc.lookup(blocks, spark.createDataFrame([(None,)], "url string")).collect()} == {3}
+    with open(captures.first().archive.removeprefix("file:"), "rb") as f:
+        own = {(r.key, r.offset, r.length, r.kind) for r in captures.filter(captures.archive == captures.first().archive).collect()}
+        assert set(warc.captures_of(f.read())) == own
+    joined = Counter(tuple(r) for r in warc.packed(pages, max_broadcast=0).select("id", "url", "size", "refers_to", "member").collect())
+    assert joined == Counter(tuple(r) for r in warc.packed(pages).select("id", "url", "size", "refers_to", "member").collect())
+    assert warc.index(captures, lines_per_block=1, max_blocks=2).agg({"lines": "max"}).first()[0] > 1  # in place of more blocks
+    clash = pages.withColumn("key", pages.url).withColumn("sha", pages.page_id).withColumn("id", pages.url).withColumn("data", pages.url)
+    assert Counter(map(tuple, warc.round_trip(clash).collect())) == want
     assert warc.url_key("https://www.B.com:443/P?a=1#f") == "com,b,www)/p?a=1" and warc.url_key(None) == "-"
     none = warc.packed(pages, least_bytes=1).filter("size = 0 and refers_to is not null").count()
     assert none == 0
