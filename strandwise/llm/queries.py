@@ -58,4 +58,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash_near_dedup, op2_contextual_pii, op3_mixing_curriculum, op4_simple8b_tokens, op5_toxicity, op6_line_block_text, op7_benchmark_decontamination, op8_warc_index, op9_hash_tree_sharding, op10_png_media)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(cast(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
+n AS (SELECT item, w, least(13, len(w)) AS size FROM b WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM n)),
+sizes AS (SELECT DISTINCT size FROM n),
+windows AS (SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT r, i, size, item FROM windows JOIN grams USING (size, g)),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS BIGINT) AS n_hit, cast(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)"""
+
+_CAPTURES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+last AS (SELECT html, max(page_id) AS latest FROM p GROUP BY html)
+SELECT page_id, cast(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(sha, 1 + 5 * (i // 4), 5) AS INTEGER) >> (5 * (3 - i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM p JOIN last USING (html)"""
+
+ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": _DECONTAMINATION, "op8_warc_index": _CAPTURES}
