@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import materialize, numbered, order_hash
+from .work import materialize, numbered
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -18,6 +18,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def order_key(*cols: Column) -> Column:
+    """A fixed pseudo-random order: the first 60 bits of the MD5 of the columns' texts, as a long of 0 or more. SQL engines agree on it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))), 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
     """(source, place, source_size, target): shares of all words by weight; no target above ``cap`` times its source, the excess reshared by weight.
 
@@ -49,7 +54,7 @@ def position(share: Column, slope: Column) -> Column:
 
 def _dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, cap: int = 3, whole_rows: bool = False) -> DataFrame:
     """``mix`` without its order; with ``whole_rows`` also _doc, a struct of the row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order_hash(F.col(id_col), F.col(text_col)).alias("_h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")] if whole_rows else []))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order_key(F.col(id_col), F.col(text_col)).alias("_h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")] if whole_rows else []))
     extra = ["_doc"] if whole_rows else []
     sizes = materialize(rows.drop("_doc"), "mix-sizes")
     rows = rows if whole_rows else sizes
@@ -57,7 +62,7 @@ def _dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     narrow = rows.select("id", "source", "size", "_h", *extra)
     t = table.withColumnRenamed("source", "_source")
     narrow = narrow.join(t, narrow["source"].eqNullSafe(t["_source"])).drop("_source", "source")
-    counted = numbered(narrow, ["place"], "_h", ["id", "size"], weight="size", max_bucket=4_000 if whole_rows else None, rows=sizes.count())
+    counted = numbered(narrow, ["place"], "_h", ["id", "size"], weight="size", max_bucket=4_000 if whole_rows else None, rows=sizes.count(), key_bits=60)
     goal, whole = F.round("target").cast("long"), F.col("source_size")
     passes = [goal - whole * k - F.col("before") for k in range(cap)]
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), p)) for p in passes[1:]), F.greatest(F.lit(0), F.least(F.col("size"), passes[0])))

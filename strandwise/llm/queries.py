@@ -81,4 +81,21 @@ SELECT page_id, cast(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> latest THEN latest END AS refers_to
 FROM p JOIN last USING (html)"""
 
-ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": _DECONTAMINATION, "op8_warc_index": _CAPTURES}
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  cast('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
+s AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + place % 3]::DOUBLE AS weight, source_size * 3::DOUBLE AS cap, [-0.5, 0.0, 0.5][1 + place % 3]::DOUBLE AS slope FROM s),
+f AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER ahead, 0) AS words_left, sum(weight) OVER () - coalesce(sum(weight) OVER ahead, 0) AS weight_left
+  FROM w WINDOW ahead AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(words_left / weight_left, (cap / weight, place)) AS level FROM f WHERE cap > words_left / weight_left * weight),
+t AS (SELECT source, source_size, slope, least(cap, coalesce(level * weight, cap)) AS target FROM f, l),
+o AS (SELECT d.*, source_size, slope, target, round(target)::BIGINT AS goal,
+  cast(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, [goal - before, goal - source_size - before, goal - 2 * source_size - before] AS ends, [least(1.0, (before + n * source_size) / target) FOR n IN [0, 1, 2]] AS shares FROM o),
+r AS (SELECT *, list_transform(list_filter([0, 1, 2], lambda n: target > 0 AND least(size, ends[n + 1]) > 0),
+  lambda n: CASE WHEN slope = 0 THEN shares[n + 1] ELSE abs((1 - slope - sqrt(greatest((1 - slope) * (1 - slope) - 4 * -slope * shares[n + 1], 0))) / (2 * -slope)) END) AS positions FROM p)
+SELECT doc_id, cast(size AS BIGINT) AS size, source_size, target, cast(list_sum([greatest(0, least(size, e)) FOR e IN ends]) AS BIGINT) AS taken,
+  cast(list_sum([CASE WHEN 2 * e > size THEN 1 ELSE 0 END FOR e IN ends]) AS INTEGER) AS copies, positions[1] AS position, positions FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing_curriculum": _MIX, "op7_benchmark_decontamination": _DECONTAMINATION, "op8_warc_index": _CAPTURES}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ class Leaf:
 
 def layout(shards: int, regions: int = 2, racks: int = 2, base: int = 16) -> list[Leaf]:
     """A tree for ``shards`` shards: the first ``base`` ones are dealt evenly over the racks of the regions, each later one opens a
-    region of its own. So from ``base`` on, one more shard changes no weight but that of its own new subtree, and takes rows only into itself."""
-    first = min(shards, base)
+    region of its own. So one more shard changes no weight but that of its own new subtree, and takes rows only into itself. Fewer than ``base`` shards can't grow so and are refused: pass a smaller base."""
+    if shards < base:
+        raise ValueError(f"{shards} shards are fewer than the {base} that the tree starts from")
+    first = base
     per = -(-first // (regions * racks))
     leaves = [Leaf(f"r{i // per // racks}", f"k{i // per % racks}", i) for i in range(first)]
     return leaves + [Leaf(f"grown{i}", "k0", i) for i in range(first, shards)]
@@ -64,25 +67,39 @@ def place(key: Column, tree: list[Leaf]) -> Column:
     return level(live, "", 0)
 
 
-def shard_rows(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+def shard_rows(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False, order: Column | None = None) -> DataFrame:
     """Per row: id, size (UTF-8 bytes plus 1), text_crc32, law ("key"), shard, slot (gapless from 0 in its shard), grown_shard; with ``whole_rows`` also _doc, a struct of the row.
 
     The shard depends on the id and the tree alone; all rows of one id, and all of null id, share a shard. A null text has size 1 and the
-    checksum of no bytes. Repeated rows each get a slot of their own. Slots follow a hash order; no task holds a whole shard.
+    checksum of no bytes. Repeated rows each get a slot of their own. Slots follow ``order``, a long column of which few rows share one, or a hash order; no task holds a whole shard.
     """
     key = F.col("id")
     extra = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")] if whole_rows else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra, *([order.alias("_order")] if order is not None else []))
     extra = ["_doc"] if whole_rows else []
-    rows = rows.select("id", *extra, (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), place(key, tree).alias("shard"), (place(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
+    rows = rows.select("id", *extra, *(["_order"] if order is not None else []), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), place(key, tree).alias("shard"), (place(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
     rows = rows.withColumn("_h", order_hash(F.col("id"), F.col("text_crc32")))
     rows = rows if whole_rows else materialize(rows, "shards")
-    out = numbered(rows, ["shard"], "_h", ["id", "text_crc32", "size"], max_bucket=4_000 if whole_rows else None)
+    if order is None:
+        out = numbered(rows, ["shard"], "_h", ["id", "text_crc32", "size"], max_bucket=4_000 if whole_rows else None)
+    else:
+        out = numbered(rows, ["shard"], "_order", ["_h"], bucket=F.shiftright("_order", 12))
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", *extra)
 
 
-def sharded(docs: DataFrame, tree: list[Leaf], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the columns shard and slot (which replace columns of those names)."""
-    placed = shard_rows(docs, tree, None, id_col, text_col, whole_rows=True)
+def file_order(docs: DataFrame) -> Column | None:
+    """Where each row stands in the files that ``docs`` was read from, by number of the part file, then row: the order in which a sorted table was written. None if ``docs`` comes from no files."""
+    try:
+        name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        docs.select(name, row)
+    except AnalysisException:
+        return None
+    part, piece = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    return F.shiftleft(part * 4096 + F.pmod(piece, F.lit(4096)), 31) + row
+
+
+def sharded(docs: DataFrame, tree: list[Leaf], id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` with the columns shard and slot (which replace columns of those names); slots follow ``order`` as in ``shard_rows``. An empty table stays empty, repeated rows stay."""
+    placed = shard_rows(docs, tree, None, id_col, text_col, whole_rows=True, order=order)
     kept = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
     return placed.select(*kept, "shard", "slot")

@@ -140,26 +140,40 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _finer_masks(mask: int, budget: int) -> list[int]:
+    """Masks of further blocks within the bits that ``mask`` leaves open: of budget + 2 blocks any two stay equal in a pair within the budget."""
+    free = [i for i in range(63, -1, -1) if not mask >> i & 1]
+    m = budget + 2
+    if len(free) < 2 * m:
+        return [0]
+    blocks = [sum(1 << i for i in free[len(free) * x // m : len(free) * (x + 1) // m]) for x in range(m)]
+    return [sum(x) for x in itertools.combinations(blocks, m - budget)]
+
+
 def links(fps: DataFrame, budget: int = 4, bucket: int = 512, hot: int = 16_384, flush: int = 200_000) -> DataFrame:
     """A spanning set of links (a, b) over distinct fingerprints (column fp): joined by paths exactly as by all pairs within ``budget``.
 
-    Rows meet by equal blocks (pigeonhole), each bucket is one trie. A bucket of over ``hot`` rows is dealt into chunks by hash, and
-    every pair of chunks becomes a task of at most two chunks; at most one link a row leaves a task, never all pairs.
+    Rows meet by equal blocks (pigeonhole), each bucket is one trie. A bucket of over ``hot`` rows is split by further blocks of the bits that it leaves open, by the same argument; one still
+    over it is dealt into chunks by hash, and every pair of chunks becomes a task of at most two chunks. At most one link a row leaves a task, never all pairs.
     """
     spark = fps.sparkSession
     ship(spark)
     masks = _block_masks(fps.count(), budget, bucket)
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)))).alias("at")).select("fp", "at.b", "at.k")
-    large = keyed.groupBy("b", "k").count().filter(F.col("count") > hot).select("b", "k", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
-    dealt = keyed.join(large, ["b", "k"], "left").withColumn("c", F.expr("cast(pmod(xxhash64(fp, 7), coalesce(chunks, 1)) as int)"))
+    large = keyed.groupBy("b", "k").count().filter(F.col("count") > hot).select("b", "k", F.lit(True).alias("large"))
+    keyed = keyed.join(large, ["b", "k"], "left")
+    finer = F.element_at(F.array(*(F.array(*(F.lit(_signed(x)) for x in _finer_masks(m, budget))) for m in masks)), F.col("b") + 1)
+    keyed = keyed.select("fp", "b", "k", F.posexplode(F.when(F.col("large"), finer).otherwise(F.array(F.lit(0).cast("long")))).alias("q", "m")).select("fp", (F.col("b") * 1024 + F.col("q")).alias("b"), "k", F.col("fp").bitwiseAND(F.col("m")).alias("s"))
+    still = keyed.groupBy("b", "k", "s").count().filter(F.col("count") > hot).select("b", "k", "s", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
+    dealt = keyed.join(still, ["b", "k", "s"], "left").withColumn("c", F.expr("cast(pmod(xxhash64(fp, 7), coalesce(chunks, 1)) as int)"))
     tasks = dealt.withColumn("j", F.explode(F.expr("if(chunks is null, array(0), filter(sequence(0, chunks - 1), x -> x <> c))")))
-    tasks = tasks.select("b", "k", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "fp")
+    tasks = tasks.select("b", "k", "s", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "fp")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    tasks = tasks.repartition(parts, "b", "k", "i", "j").sortWithinPartitions("b", "k", "i", "j", "fp")
+    tasks = tasks.repartition(parts, "b", "k", "s", "i", "j").sortWithinPartitions("b", "k", "s", "i", "j", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
-            cols = [t.column(x).to_numpy() for x in ("b", "k", "i", "j")]
+            cols = [t.column(x).to_numpy() for x in ("b", "k", "s", "i", "j")]
             fp = t.column("fp").to_numpy().view(np.uint64) ^ _FLIP
             change = np.zeros(len(fp), bool)
             for x in cols:
@@ -175,7 +189,7 @@ def links(fps: DataFrame, budget: int = 4, bucket: int = 512, hot: int = 16_384,
             if sum(x.num_rows for x in kept) < flush:
                 continue
             t = pa.Table.from_batches(kept)
-            tail = [t.column(x).to_numpy() for x in ("b", "k", "i", "j")]
+            tail = [t.column(x).to_numpy() for x in ("b", "k", "s", "i", "j")]
             same = np.logical_and.reduce([x == x[-1] for x in tail])
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
@@ -187,13 +201,12 @@ def links(fps: DataFrame, budget: int = 4, bucket: int = 512, hot: int = 16_384,
     return tasks.mapInArrow(run, "a long, b long")
 
 
-def _classes(prints: DataFrame, budget: int) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of ``prints`` (id, fp)."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+def _classes(distinct: DataFrame, budget: int) -> DataFrame:
+    """``distinct`` (fp, first_id, ...), a row for each fingerprint, with the columns root and component_id."""
     roots = materialize(components(links(distinct.select("fp"), budget)), "roots").withColumnRenamed("node", "fp")
     firsts = distinct.join(roots, "fp").groupBy("root").agg(F.min("first_id").alias("group_id"))
     grouped = roots.join(firsts, "root").select("fp", "root", "group_id")
-    return distinct.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("group_id", "first_id").alias("component_id"))
+    return distinct.join(grouped, "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("component_id", F.coalesce("group_id", "first_id")).drop("group_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, budget: int = 4) -> DataFrame:
@@ -201,23 +214,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have fingerprint zero and are linked to each other like any equal
     fingerprints. Rows with a null id are linked too; component_id ignores null ids and is null only where a component has no other.
-    Repeated rows stay repeated. Other columns are not read. An empty table gives an empty result.
+    Repeated rows stay repeated. Other columns are not read. An empty table gives an empty result. Rows get their class by a join on the fingerprint; the fingerprints of over
+    a ten-thousandth of all rows each, at most 10,000 of them, are sent to the rows instead.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = _classes(prints, budget)
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    classes = materialize(_classes(distinct, budget).select("fp", "component_id", "n"), "classes")
+    common = F.col("n") > prints.count() / 10_000
+    hot = classes.filter(common).select("fp", "component_id", F.lit(True).alias("hot"))
+    marked = prints.join(F.broadcast(hot), "fp", "left")
+    rare = marked.filter("hot is null").select("id", "fp").join(classes.filter(~common).select("fp", "component_id"), "fp")
+    every = marked.filter("hot").select("id", "fp", "component_id").unionByName(rare.select("id", "fp", "component_id"))
+    return every.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, budget: int = 4) -> DataFrame:
     """The rows of ``docs``, one of each component: that with the smallest id (null ids last); of rows with that id, one by hash.
 
-    Rows are told apart by two 64-bit hashes of all columns; of wholly equal rows one stays.
+    Rows are told apart by two 64-bit hashes of all columns; of wholly equal rows one stays. Columns of any name are kept. An empty table stays empty. Rows are pre-aggregated by fingerprint
+    before they are joined to their class, and equal rows before they are shuffled.
     """
     every = [F.col(f"`{c}`").cast("string") for c in docs.columns]
     h = (F.xxhash64(F.lit(1), *(F.coalesce(c, F.lit("\0null")) for c in every)), F.xxhash64(F.lit(2), *(F.coalesce(c, F.lit("\0null")) for c in every)))
     prints = materialize(fingerprints(docs, id_col, text_col, size, carry=h), "fingerprints")
-    rows = prints.join(_classes(prints.select("id", "fp"), budget), "fp")
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h0", "h1")).alias("best")).select(F.col("best.h0").alias("_h0"), F.col("best.h1").alias("_h1"))
-    found = docs.withColumn("_h0", h[0]).withColumn("_h1", h[1]).join(kept, ["_h0", "_h1"], "left_semi")
-    first = Window.partitionBy("_h0", "_h1").orderBy("_h0")
-    return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_h0", "_h1", "_n")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h0", "h1")).alias("best")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id"), best), "distinct-fingerprints")
+    kept = _classes(distinct, budget).groupBy("root").agg(F.min("best").alias("best")).select("best.h0", "best.h1")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), h[0].alias("h0"), h[1].alias("h1"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("h0", "h1").orderBy("h0"))).filter("n = 1")
+    return first.join(kept, ["h0", "h1"], "left_semi").select("doc.*")

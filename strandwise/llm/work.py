@@ -56,17 +56,18 @@ def order_hash(*cols: Column) -> Column:
     return F.xxhash64(F.lit("order"), *cols)
 
 
-def numbered(df: DataFrame, group: list[str], key: str, ties: list[str], weight: str | None = None, max_bucket: int | None = None, rows: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], key: str, ties: list[str], weight: str | None = None, max_bucket: int | None = None, rows: int | None = None, key_bits: int = 64, bucket: Column | None = None) -> DataFrame:
     """Add ``slot`` (gapless from 0 in each group) and, given ``weight``, ``before`` (sum of the weights ahead of the row).
 
-    ``key`` is a hash column; a group is cut into buckets by its leading bits, so no task ever
+    ``key`` is a hash column of ``key_bits`` bits (of fewer than 64: not negative); a group is cut into buckets by its leading bits, so no task ever
     holds a whole group: bucket totals are pre-aggregated, summed up over buckets, and rows are numbered
     within their bucket alone. There are about as many buckets as the square root of the rows, so both steps
-    see groups of that order (more buckets, where one must not exceed ``max_bucket`` rows). Group columns must not be null.
+    see groups of that order (more buckets, where one must not exceed ``max_bucket`` rows). ``bucket`` gives the buckets of a key that is no hash, in its order. Group columns must not be null.
     """
-    n = df.count() if rows is None else rows
+    n = 1 if bucket is not None else df.count() if rows is None else rows
     bits = min(24, math.ceil(max(math.log2(max(1, n)) / 2, math.log2(max(1, n / (max_bucket or n or 1))))))
-    bucket = F.shiftright(F.col(key), 64 - bits) if bits else F.lit(0).cast("long")
+    if bucket is None:
+        bucket = F.shiftright(F.col(key), key_bits - bits) if bits else F.lit(0).cast("long")
     df = df.withColumn("_bucket", bucket)
     totals = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
     up_to = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

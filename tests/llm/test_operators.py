@@ -16,7 +16,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandwise.llm import components, decontam, html_text, media, mixing, pii, sharding, simhash, simple8b, toxicity, warc
+from strandwise.llm import components, decontam, html_text, media, mixing, pii, queries, sharding, simhash, simple8b, toxicity, warc
+from tests.test_oracles import rows
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, position int"
@@ -121,6 +122,25 @@ def test_links_of_a_hot_bucket(spark):
     assert got == want
 
 
+def test_links_split_by_further_blocks(spark):
+    """A bucket over the bound whose open bits vary widely: finer blocks split it, and the links found are those of all pairs."""
+    rng = np.random.default_rng(5)
+    some = rng.integers(0, 1 << 51, 300, dtype=np.uint64) ^ (np.uint64(77) << np.uint64(51))
+    fps = np.unique(np.concatenate([some, some ^ np.uint64(0b1011 << 30), some ^ (np.uint64(1) << np.uint64(60)), some ^ np.uint64((1 << 50) | (1 << 33) | (1 << 17) | 1), some[:9] ^ np.uint64(31)]))
+    df = spark.createDataFrame([(int(x.view(np.int64)),) for x in fps], "fp long")
+    roots = {r.node: r.root for r in components.components(simhash.links(df, 4, hot=100)).collect()}
+    want = simhash.trie_links(fps, np.zeros(len(fps), int), 4)
+    mine = [roots.get(int(x.view(np.int64)), int(x.view(np.int64))) for x in fps]
+    assert len(set(mine)) == len(set(want.tolist())) == len(set(zip(mine, want.tolist(), strict=True)))
+    assert all(sum(m & f == 0 for f in simhash._finer_masks(m, 4)) == 15 for m in simhash._block_masks(10, 4, 512))
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 7, "x", 0)] * 3 + [(2, "a b c d e f", 8, "y", 0), (3, "other words here", None, None, None)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, h0 int, doc string, n int"))
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 7, "x", 0), (3, "other words here", None, None, None)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -509,6 +529,20 @@ def test_archives(spark):
     assert none == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    assert rows(queries.QUERIES[name](spark, SMALL).toPandas()) == rows(db.execute(queries.ORACLE_SQL[name]).fetchdf())
+
+
+def test_small_trees_are_refused():
+    with pytest.raises(ValueError):
+        sharding.layout(12)
+    assert len(sharding.layout(12, base=8)) == 12
+
+
 def test_shards(odd, small, spark):
     for df in (odd, small, odd.limit(0)):
         rows = sharding.shard_rows(df, sharding.layout(16), sharding.layout(17)).collect()
