@@ -13,28 +13,28 @@ SHARDS = 16
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier, trained on the labelled ones among them, calls toxic."""
+    """Without the documents that the classifier, trained on the labelled ones among them, calls toxic. Null texts score as empty ones; repeated rows stay or go together; an empty table stays empty."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest id."""
+    """One document of each component of near duplicates: the one with the smallest id; of rows with that id, one by hash. An empty table stays empty."""
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of which benchmark passages make up a twentieth or more."""
+    """Without the documents of which benchmark passages make up a twentieth or more. Null texts and repeated rows stay; an empty benchmark or table removes none."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for, in order of training."""
+    """Each document as often as its source's target weight asks for, in order of training, each pass at its own position; rows at one position are in order of their ids. Null texts have no words and are not taken; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its shard and its place in it."""
-    return sharding.sharded(docs, sharding.layout(SHARDS))
+    """Each document with its shard and its place in it: in each shard, slots follow the order of training that the mix was written in (a hash order where ``docs`` comes from no files)."""
+    return sharding.sharded(docs, sharding.layout(SHARDS), order=sharding.file_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
