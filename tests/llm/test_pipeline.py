@@ -35,6 +35,11 @@ def test_stages(spark):
     assert Counter(after) == Counter({r: copies[r.doc_id] for r in before if copies[r.doc_id]})
     before, after, _ = seen["sharding"]
     assert Counter(tuple(r)[: len(columns)] for r in after) == Counter(map(tuple, before))
+    order = [r.doc_id for r in mixing.mixed(spark.createDataFrame(seen["mixing"][0], seen["mixing"][2].schema)).collect()]
+    shard = {r.doc_id: r.shard for r in after}
+    for s in set(shard.values()):
+        mine = sorted((r.slot, r.doc_id) for r in after if r.shard == s)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [d for _, d in mine] == [d for d in order if shard[d] == s]
     assert Counter(r.doc_id for r in run(spark, SMALL).collect()) == Counter(r.doc_id for r in after)
 
 
