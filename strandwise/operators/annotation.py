@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..functions.shared import checkpoint_dir
 
 # Locus functions in order of rank; the highest wins where several hold.
 FUNCTIONS = ("INTERGENIC", "INTRONIC", "UTR", "CODING", "RIBOSOMAL")
@@ -97,14 +98,21 @@ def tiled_baits(targets: DataFrame, size: int = 120, offset: int = 80) -> DataFr
     return x.select("contig", start.cast("int").alias("start"), (start + size - 1).cast("int").alias("stop"), F.concat(F.col("name"), F.lit("_"), F.col("_i").cast("string")).alias("name"))
 
 
-def demultiplex(clusters: DataFrame, barcodes: DataFrame, max_mismatches: int = 1, min_delta: int = 1) -> DataFrame:
+def places_apart(a: Column, b: Column) -> Column:
+    """Places at which two strings differ, those that only one has included."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(a), F.length(b), F.lit(1))), F.lit(0), lambda n, i: n + F.when(F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)), 1).otherwise(0))
+
+
+def demultiplex(clusters: DataFrame, barcodes: DataFrame, max_mismatches: int = 1, min_delta: int = 1, distance: str = "hamming") -> DataFrame:
     """Assign each distinct observed barcode to the sheet's nearest one, if near enough and clearly nearer than the next; counts by barcode.
 
+    ``distance`` counts differing places (``hamming``, a place that one lacks differs) or edits (``levenshtein``).
+
     The sheet, of any size, is one row with an array of its barcodes, sent to the observed ones; each keeps the two nearest, so no pairs of clusters and barcodes are made.
     """
     sheet = barcodes.agg(F.collect_set("barcode").alias("sheet"))
     seen = clusters.groupBy("barcode").agg(F.count(F.lit(1)).alias("reads"), R.count_true(F.col("pf")).alias("pf_reads"))
-    x = seen.crossJoin(F.broadcast(sheet)).withColumn("s", F.transform("sheet", lambda b: F.struct(F.levenshtein("barcode", b).alias("d"), b.alias("b")))).drop("sheet")
+    x = seen.crossJoin(F.broadcast(sheet)).withColumn("s", F.transform("sheet", lambda b: F.struct((F.levenshtein("barcode", b) if distance == "levenshtein" else places_apart(F.col("barcode"), b)).alias("d"), b.alias("b")))).drop("sheet")
     x = x.withColumn("s", F.sort_array("s")).withColumn("s", F.array(F.get("s", F.lit(0)), F.get("s", F.lit(1)))).withColumn("next", F.expr("coalesce(s[1].d, 99)"))
     hit = F.when((F.expr("s[0].d") <= max_mismatches) & (F.col("next") - F.expr("s[0].d") >= min_delta), F.expr("s[0].b"))
     x = x.withColumn("assigned", F.coalesce(hit, F.lit("NNNN"))).withColumn("perfect", F.expr("s[0].d") == 0)
@@ -159,11 +167,7 @@ def compare_metrics(a: DataFrame, b: DataFrame, key: list[str], values: list[str
 def clusters(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of an undirected graph (a, b): each node with the least node it reaches. Labels spread along edges and jump to their label's label; each round is checkpointed."""
     two = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandwise-"))
+    checkpoint_dir(edges.sparkSession)
     two = two.checkpoint()
     label = two.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
     for _ in range(rounds):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,25 +46,46 @@ def quality_distribution(reads: DataFrame, keys: list[str] | None = None) -> Dat
     return primary_reads(reads).select(*(keys or []), F.explode("quals").alias("quality")).groupBy(*(keys or []), "quality").agg(F.count(F.lit(1)).alias("bases"))
 
 
-def cycles(reads: DataFrame, *values: str) -> DataFrame:
-    """One row a base, in the order of sequencing: cycle from 1, second ends after the longest first end; reverse records backwards and complemented."""
-    back = R.has(R.REVERSE)
-    seq = F.when(back, R.reverse_complement("bases")).otherwise(F.col("bases"))
-    quals = F.when(back, F.reverse("quals")).otherwise(F.col("quals"))
-    end = F.when(R.has(R.PAIRED) & R.has(R.SECOND), 2).otherwise(1)
-    rows = primary_reads(reads).select(*values, end.alias("read_end"), seq.alias("_s"), quals.alias("_q"))
-    rows = rows.select(*values, "read_end", "_s", F.posexplode("_q").alias("offset", "quality"))
-    return rows.select(*values, "read_end", (F.col("offset") + 1).alias("cycle"), F.expr("substr(_s, offset + 1, 1)").alias("base"), "quality")
+def cycle_counts(reads: DataFrame) -> DataFrame:
+    """(read_end, cycle, base, bases, qualities): how many bases, and the sum of their qualities, at each cycle of each end, in the order of sequencing: reverse records backwards and complemented.
+
+    Records are folded to counts in Arrow batches before the shuffle. Cycles of second ends go on after the longest first end. A base without a quality counts with quality 0.
+    """
+    rows = primary_reads(reads).select(F.when(R.has(R.PAIRED) & R.has(R.SECOND), 2).otherwise(1).alias("read_end"), R.has(R.REVERSE).alias("back"), F.coalesce("bases", F.lit("")).alias("bases"), F.coalesce("quals", F.array().cast("array<int>")).alias("quals"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = np.arange(256)
+        turn[list(b"ACGTacgt")] = list(b"TGCAtgca")
+        for batch in batches:
+            end, back = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            text = b"".join(x.as_py().encode() for x in batch.column(2))
+            sizes = np.array([len(x.as_py()) for x in batch.column(2)], np.int64)
+            values, spans = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(3).offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            base = np.frombuffer(text, np.uint8)
+            base = np.where(back[owner], turn[base], base)
+            cycle = np.where(back[owner], sizes[owner] - at, at + 1)
+            known = at < spans[owner]
+            quality = np.zeros(len(owner))
+            quality[known] = values[(np.cumsum(spans) - spans)[owner[known]] + at[known]]
+            key = (end[owner].astype(np.int64) << 40 | cycle) << 8 | base
+            found, where = np.unique(key, return_inverse=True)
+            yield pa.record_batch([pa.array((found >> 48).astype(np.int32)), pa.array((found >> 8 & 0xFFFFFFFF).astype(np.int32)), pa.array([chr(x) for x in found & 255], pa.string()), pa.array(np.bincount(where, minlength=len(found)).astype(np.int64)), pa.array(np.bincount(where, quality, len(found)).astype(np.int64))], names=["read_end", "cycle", "base", "bases", "qualities"])
+
+    counts = rows.mapInArrow(fold, "read_end int, cycle int, base string, bases long, qualities long").groupBy("read_end", "cycle", "base").agg(F.sum("bases").alias("bases"), F.sum("qualities").alias("qualities"))
+    first = Window.partitionBy()  # over a row for each end, cycle and base
+    return counts.withColumn("cycle", F.col("cycle") + F.when(F.col("read_end") == 2, F.coalesce(F.max(F.when(F.col("read_end") == 1, F.col("cycle"))).over(first), F.lit(0))).otherwise(0))
 
 
 def mean_quality_by_cycle(reads: DataFrame) -> DataFrame:
-    return cycles(reads).groupBy("read_end", "cycle").agg(R.rounded(F.sum("quality") / F.count(F.lit(1))).alias("mean_quality"))
+    return cycle_counts(reads).groupBy("read_end", "cycle").agg(R.rounded(F.sum("qualities") / F.sum("bases")).alias("mean_quality"))
 
 
 def base_distribution_by_cycle(reads: DataFrame) -> DataFrame:
     """Percent of each base by end and cycle, records that pass filters."""
-    rows = cycles(reads.filter(~R.has(R.QC_FAIL))).groupBy("read_end", "cycle")
-    return rows.agg(*(R.rounded(100.0 * R.count_true(F.col("base") == b) / F.count(F.lit(1))).alias(f"pct_{b.lower()}") for b in "ACGTN"))
+    rows = cycle_counts(reads.filter(~R.has(R.QC_FAIL))).groupBy("read_end", "cycle")
+    return rows.agg(*(R.rounded(100.0 * R.sum_if(F.col("base") == b, F.col("bases")) / F.sum("bases")).alias(f"pct_{b.lower()}") for b in "ACGTN"))
 
 
 def pair_orientation() -> Column:
@@ -79,7 +104,7 @@ def insert_reads(reads: DataFrame, include_duplicates: bool = False) -> DataFram
     return reads.filter(keep).withColumn("ops", R.cigar_ops()).withColumn("orientation", pair_orientation()).withColumn("insert_size", F.abs("tlen"))
 
 
-def weighted_stats(hist: DataFrame, keys: list[str], value: str, weight: str, least_share: float = 0.0) -> DataFrame:
+def weighted_stats(hist: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """count, min, max, mean, sd (n - 1), median, mode (least on ties) and median absolute deviation of a histogram."""
     n = F.sum(weight)
     mean = F.sum(F.col(value) * F.col(weight)) / n
@@ -95,10 +120,13 @@ def weighted_stats(hist: DataFrame, keys: list[str], value: str, weight: str, le
     return out.select(*keys, "n", "min", "max", R.rounded(F.col("mean"), 4).alias("mean"), R.rounded(sd, 4).alias("sd"), "median", (-F.col("_mode.v")).alias("mode"), "mad")
 
 
-def insert_size_stats(reads: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    keys = [*(keys or []), "orientation"]
+def insert_size_stats(reads: DataFrame, keys: list[str] | None = None, least_share: float = 0.05) -> DataFrame:
+    """Statistics of insert sizes by orientation; one with less than ``least_share`` of the group's pairs is left out."""
+    groups = keys or []
+    keys = [*groups, "orientation"]
     hist = insert_reads(reads).groupBy(*keys, "insert_size").agg(F.count(F.lit(1)).alias("c"))
-    return weighted_stats(hist, keys, "insert_size", "c")
+    stats = weighted_stats(hist, keys, "insert_size", "c").withColumn("_all", F.sum("n").over(Window.partitionBy(*groups)))
+    return stats.filter(F.col("n") >= F.col("_all") * least_share).drop("_all")
 
 
 def insert_size_widths(reads: DataFrame, shares: tuple[int, ...] = (10, 50, 90, 99)) -> DataFrame:

@@ -12,9 +12,9 @@ def in_list(reads: DataFrame, names: DataFrame, keep: bool = True) -> DataFrame:
     return reads.join(names.select("name").distinct(), "name", "left_semi" if keep else "left_anti")
 
 
-def by_template_alignment(reads: DataFrame, aligned: bool = True) -> DataFrame:
-    """Templates of which any record is mapped (``aligned``), or none. Names are judged by an aggregate and joined back, so a long template is no window."""
-    mapped = reads.groupBy("name").agg(F.max(~R.has(R.UNMAPPED)).alias("_any")).filter(F.col("_any") == aligned).select("name")
+def by_template_alignment(reads: DataFrame, aligned: bool = True, every: bool = False) -> DataFrame:
+    """Templates of which any record is mapped (``aligned``), or none; with ``every``, those all of whose records are, or aren't. Names are judged by an aggregate and joined back, so a long template is no window."""
+    mapped = reads.groupBy("name").agg((F.min if every else F.max)(~R.has(R.UNMAPPED)).alias("_any")).filter(F.col("_any") == aligned).select("name")
     return reads.join(mapped, "name", "left_semi")
 
 
@@ -145,10 +145,10 @@ def trimmed(reads: DataFrame, threshold: int) -> DataFrame:
 
 
 def adapter_start(reads: DataFrame, adapter: str, least: int = 4, max_error: float = 0.1) -> DataFrame:
-    """Where an adapter begins in each read: the first offset at which its overlap, of at least ``least`` bases, has at most that share of mismatches; null if nowhere."""
+    """Where an adapter begins in each read: the last offset at which its overlap, of at least ``least`` bases, has at most that share of mismatches, rounded down; null if nowhere. N in the adapter matches any base."""
     n = len(adapter)
-    wrong = f"aggregate(sequence(1, least({n}, length(bases) - i)), 0, (k, j) -> k + if(substr(bases, i + j, 1) <> substr('{adapter}', j, 1), 1, 0))"
-    at = F.expr(f"if(length(bases) < {least}, null, array_min(filter(sequence(0, length(bases) - {least}), i -> {wrong} <= floor({max_error}D * least({n}, length(bases) - i)))))")
+    wrong = f"aggregate(sequence(1, least({n}, length(bases) - i)), 0, (k, j) -> k + if(substr('{adapter}', j, 1) not in ('N', '.') and upper(substr(bases, i + j, 1)) <> upper(substr('{adapter}', j, 1)), 1, 0))"
+    at = F.expr(f"if(length(bases) < {least}, null, array_max(filter(sequence(0, length(bases) - {least}), i -> {wrong} <= floor({max_error}D * least({n}, length(bases) - i)))))")
     return reads.select("idx", at.alias("adapter_start"))
 
 

@@ -64,7 +64,7 @@ def _(t):
 
 
 SHEET = ("ACGA", "TTCC", "GGAT", "CATG")
-NEAR = "list_sort(list_transform(['ACGA', 'TTCC', 'GGAT', 'CATG'], lambda b: {'d': levenshtein(umi, b), 'b': b}))"
+NEAR = "list_sort(list_transform(['ACGA', 'TTCC', 'GGAT', 'CATG'], lambda b: {'d': hamming(umi, b), 'b': b}))"
 
 
 @query("barcode_demux", f"""WITH s AS (SELECT umi, count(*) AS c, count(*) FILTER (flags & 512 = 0) AS pf FROM reads GROUP BY umi), k AS (SELECT *, {NEAR} AS l FROM s), a AS (SELECT *, CASE WHEN l[1].d <= 1 AND l[2].d - l[1].d >= 1 THEN l[1].b ELSE 'NNNN' END AS assigned FROM k)
@@ -113,7 +113,7 @@ def _(t):
     return A.compare_metrics(s(t.reads), s(t.reads.filter("mapq > 1 and rg <> 'rg1'")), ["rg"], ["reads", "bases"], 0.015)
 
 
-@query("cluster_crosscheck", f"""WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 1500 AS b FROM customer WHERE c_nationkey < 12 UNION SELECT (c_custkey * 7 + 3) % 1500, c_custkey FROM customer WHERE c_nationkey < 12), d AS (SELECT * FROM e WHERE a <> b),
+@query("cluster_crosscheck", f"""WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 1500 AS b FROM customer UNION SELECT (c_custkey * 7 + 3) % 1500, c_custkey FROM customer), d AS (SELECT * FROM e WHERE a <> b),
  reach(a, b) AS (SELECT a, b FROM d UNION SELECT reach.a, d.b FROM reach JOIN d ON reach.b = d.a) SELECT a AS node, least(a, min(b)) AS label FROM reach GROUP BY a""")
 def _(t):
     e = t.customer.select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % 1500).alias("b"))

@@ -13,7 +13,7 @@ BASES = f"WITH {BLOCKS}, ab AS (SELECT r.*, read_start + CAST(o AS INT) AS off,
 LENGTH = "(101000 + contig * 100)"
 NRUN = lambda p: f"((({p}) - 1) // 500 + contig) % 50 = 7 AND (({p}) - 1) % 500 < 300"
 REF = lambda p: f"CASE WHEN {NRUN(p)} THEN 'N' ELSE {DUCK.base('contig', p)} END"
-WITH_REF = f"{BASES}, x AS (SELECT *, {REF('p')} AS ref, CASE WHEN (p - 1) % 500 BETWEEN 1 AND 498 AND p < {LENGTH} THEN {REF('p - 1')} || {REF('p')} || {REF('p + 1')} END AS context FROM b WHERE p <= {LENGTH} AND {USABLE})"
+WITH_REF = f"{BASES}, x AS (SELECT *, {REF('p')} AS ref, CASE WHEN p > 1 AND p < {LENGTH} THEN {REF('p - 1')} || {REF('p')} || {REF('p + 1')} END AS context FROM b WHERE p <= {LENGTH} AND {USABLE})"
 
 
 @query("wgs_fate_partition", f"SELECT CASE WHEN mapq < 20 THEN 'MAPQ' WHEN flags & 1024 <> 0 THEN 'DUPE' WHEN flags & 1 = 0 OR flags & 8 <> 0 THEN 'UNPAIRED' ELSE 'KEPT' END AS fate, {n('count(*)')} AS reads, {n(f'sum({LEN})')} AS bases FROM reads WHERE {USABLE} GROUP BY 1", "reads")

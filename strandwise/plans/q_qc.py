@@ -19,7 +19,7 @@ def _(t):
     return qc.quality_yield(t.reads, ["rg"])
 
 
-@query("quality_yield_snvq", f"SELECT {YIELD(20, 30, 40)} FROM reads {P}", "reads")
+@query("quality_yield_q40", f"SELECT {YIELD(20, 30, 40)} FROM reads {P}", "reads")
 def _(t):
     return qc.quality_yield(t.reads, thresholds=(20, 30, 40))
 
@@ -37,16 +37,16 @@ def _(t):
     return qc.quality_distribution(t.reads)
 
 
-CYCLES = f"""WITH cyc AS (SELECT flags, CASE WHEN flags & 1 <> 0 AND flags & 128 <> 0 THEN 2 ELSE 1 END AS read_end, CASE WHEN flags & 16 <> 0 THEN len - o ELSE o + 1 END AS cycle,
-  CASE WHEN flags & 16 <> 0 THEN translate(substr(bases, o + 1, 1), 'ACGT', 'TGCA') ELSE substr(bases, o + 1, 1) END AS base, quals[o + 1] AS quality FROM (SELECT *, CAST(unnest(range(0, len)) AS INT) AS o FROM reads {P}) x)"""
+CYCLES = lambda more: f"""WITH cyc AS (SELECT flags, CASE WHEN flags & 1 <> 0 AND flags & 128 <> 0 THEN 2 ELSE 1 END AS read_end, CASE WHEN flags & 16 <> 0 THEN len - o ELSE o + 1 END + CASE WHEN flags & 1 <> 0 AND flags & 128 <> 0 THEN (SELECT max(len) FROM reads {P} AND flags & 129 <> 129 {more}) ELSE 0 END AS cycle,
+  CASE WHEN flags & 16 <> 0 THEN translate(substr(bases, o + 1, 1), 'ACGT', 'TGCA') ELSE substr(bases, o + 1, 1) END AS base, quals[o + 1] AS quality FROM (SELECT *, CAST(unnest(range(0, len)) AS INT) AS o FROM reads {P} {more}) x)"""
 
 
-@query("mean_quality_by_cycle", f"{CYCLES} SELECT read_end, cycle, {r('sum(quality) / count(*)')} AS mean_quality FROM cyc GROUP BY ALL", "reads")
+@query("mean_quality_by_cycle", f"{CYCLES('')} SELECT read_end, cycle, {r('sum(quality) / count(*)')} AS mean_quality FROM cyc GROUP BY ALL", "reads")
 def _(t):
     return qc.mean_quality_by_cycle(t.reads)
 
 
-@query("base_distribution_by_cycle", f"{CYCLES} SELECT read_end, cycle, {', '.join(r(f'100.0::DOUBLE * count(*) FILTER (base = {chr(39)}{b}{chr(39)}) / count(*)') + f' AS pct_{b.lower()}' for b in 'ACGTN')} FROM cyc WHERE flags & 512 = 0 GROUP BY read_end, cycle", "reads")
+@query("base_distribution_by_cycle", f"{CYCLES('AND flags & 512 = 0')} SELECT read_end, cycle, {', '.join(r(f'100.0::DOUBLE * count(*) FILTER (base = {chr(39)}{b}{chr(39)}) / count(*)') + f' AS pct_{b.lower()}' for b in 'ACGTN')} FROM cyc GROUP BY read_end, cycle", "reads")
 def _(t):
     return qc.base_distribution_by_cycle(t.reads)
 
@@ -62,7 +62,7 @@ def _stats(keys: str) -> str:
  modes AS (SELECT {k}orientation, insert_size AS mode, row_number() OVER (PARTITION BY {k}orientation ORDER BY count(*) DESC, insert_size) AS rn FROM ins GROUP BY {k}orientation, insert_size)
 SELECT {', '.join(f'ins.{x.strip()}' for x in keys.split(',')) + ',' if keys else ''} ins.orientation, {n('count(*)')} AS n, min(insert_size) AS min, max(insert_size) AS max, {r('avg(insert_size)', 4)} AS mean, {r('stddev_samp(insert_size)', 4)} AS sd,
  CAST(quantile_cont(insert_size, 0.5) AS DOUBLE) AS median, any_value(mode) AS mode, CAST(quantile_cont(abs(insert_size - med.median), 0.5) AS DOUBLE) AS mad
-FROM ins JOIN med USING ({k}orientation) JOIN (SELECT * FROM modes WHERE rn = 1) USING ({k}orientation) GROUP BY {', '.join(f'ins.{x.strip()}' for x in keys.split(',')) + ',' if keys else ''} ins.orientation"""
+FROM (SELECT *, count(*) OVER (PARTITION BY {k}orientation) AS mine, count(*) OVER ({f'PARTITION BY {keys}' if keys else ''}) AS every FROM ins) ins JOIN med USING ({k}orientation) JOIN (SELECT * FROM modes WHERE rn = 1) USING ({k}orientation) WHERE mine >= every * 0.05 GROUP BY {', '.join(f'ins.{x.strip()}' for x in keys.split(',')) + ',' if keys else ''} ins.orientation"""
 
 
 @query("insert_size_stats", _stats(""), "reads")

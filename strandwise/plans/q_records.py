@@ -30,6 +30,11 @@ def _(t):
     return X.by_template_alignment(t.reads).select("idx")
 
 
+@query("filter_aligned_both", "SELECT idx FROM (SELECT idx, bool_and(flags & 4 = 0) OVER (PARTITION BY name) AS a FROM reads) x WHERE a", "reads")
+def _(t):
+    return X.by_template_alignment(t.reads, every=True).select("idx")
+
+
 @query("filter_unaligned_template", "SELECT idx FROM (SELECT idx, bool_or(flags & 4 = 0) OVER (PARTITION BY name) AS a FROM reads) x WHERE NOT a", "reads")
 def _(t):
     return X.by_template_alignment(t.reads, aligned=False).select("idx")
@@ -127,7 +132,7 @@ def _(t):
     return X.trimmed(t.reads, 20)
 
 
-@query("adapter_mark", "WITH o AS (SELECT idx, bases, CAST(unnest(range(0, length(bases) - 3)) AS INT) AS i FROM reads), e AS (SELECT idx, i, least(8, length(bases) - i) AS k, substr(bases, i + 1, least(8, length(bases) - i)) AS w FROM o), m AS (SELECT idx, i FROM e WHERE hamming(w, substr('TGGCATGG', 1, k)) <= floor(0.1 * k)) SELECT idx, coalesce(min(i), -1) AS adapter_start FROM reads LEFT JOIN m USING (idx) GROUP BY idx", "reads")
+@query("adapter_mark", "WITH o AS (SELECT idx, bases, CAST(unnest(range(0, length(bases) - 3)) AS INT) AS i FROM reads), e AS (SELECT idx, i, least(8, length(bases) - i) AS k, substr(bases, i + 1, least(8, length(bases) - i)) AS w FROM o), m AS (SELECT idx, i FROM e WHERE hamming(w, substr('TGGCATGG', 1, k)) <= floor(0.1 * k)) SELECT idx, coalesce(max(i), -1) AS adapter_start FROM reads LEFT JOIN m USING (idx) GROUP BY idx", "reads")
 def _(t):
     return X.adapter_start(t.reads, "TGGCATGG").fillna(-1)
 
