@@ -13,13 +13,12 @@ FUNCTIONS = ("INTERGENIC", "INTRONIC", "UTR", "CODING", "RIBOSOMAL")
 
 
 def features(genes: DataFrame) -> DataFrame:
-    """Stretches of each transcript with their function's rank: all of it intronic, its exons UTR, exons within the coding range coding."""
-    f, rows = F.col, []
-    whole = F.struct(f("tx_start").alias("start"), f("tx_end").alias("stop"), F.lit(1).alias("rank"))
-    exons = [(f("e1_start"), f("e1_end")), (f("e2_start"), f("e2_end"))]
-    rows = [whole, *(F.struct(a.alias("start"), b.alias("stop"), F.lit(2).alias("rank")) for a, b in exons)]
-    rows += [F.struct(F.greatest(a, f("cds_start")).alias("start"), F.least(b, f("cds_end")).alias("stop"), F.lit(3).alias("rank")) for a, b in exons]
-    return genes.select("contig", "gene", "transcript", F.explode(F.array(*rows)).alias("x")).select("contig", "gene", "transcript", "x.*").filter("start <= stop")
+    """Stretches of each transcript with their function's rank: all of it intronic, its exons UTR, exons within the coding range coding. Exons are an array (start, stop), of any number, or two pairs of columns."""
+    f = F.col
+    exons = f("exons") if "exons" in genes.columns else F.array(*(F.struct(f(f"e{i}_start").alias("start"), f(f"e{i}_end").alias("stop")) for i in (1, 2)))
+    part = lambda a, b, rank: F.struct(a.alias("start"), b.alias("stop"), F.lit(rank).alias("rank"))
+    rows = F.concat(F.array(part(f("tx_start"), f("tx_end"), 1)), F.transform(exons, lambda e: part(e["start"], e["stop"], 2)), F.transform(exons, lambda e: part(F.greatest(e["start"], f("cds_start")), F.least(e["stop"], f("cds_end")), 3)))
+    return genes.select("contig", "gene", "transcript", F.explode(rows).alias("x")).select("contig", "gene", "transcript", "x.*").filter("start <= stop")
 
 
 def base_functions(reads: DataFrame, genes: DataFrame, width: int = 1000) -> DataFrame:

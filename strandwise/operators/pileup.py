@@ -113,12 +113,16 @@ def panel_metrics(reads: DataFrame, targets: DataFrame, near: int = 250, width:
     return x.agg(F.sum("on").cast("long").alias("on_bait_bases"), F.sum(near_bases).cast("long").alias("near_bait_bases"), F.sum(off).cast("long").alias("off_bait_bases"), R.rounded(R.ratio(F.sum(F.col("on") + near_bases), F.sum("n"))).alias("pct_selected_bases"))
 
 
-def error_counts(reads: DataFrame, reference: DataFrame, by: dict[str, Column], min_quality: int = 0) -> DataFrame:
+def error_counts(reads: DataFrame, reference: DataFrame, by: dict[str, Column], min_quality: int = 0, each: bool = False) -> DataFrame:
     """Aligned bases and mismatches by any strata, each a name and an expression over a base, its record and the reference. A null stratum drops the base; N never counts."""
-    keep = ["flags", "mapq", "len", "rg", "tlen", "nm", "read_bases", "tile", "ops", "gc", "ns"]
+    keep = ["flags", "mapq", "len", "rg", "tlen", "nm", "read_bases", "tile", "x", "y", "ops", "gc", "ns"]
     r = usable(reads).withColumn("read_bases", F.col("bases")).withColumn("gc", F.length(F.regexp_replace("bases", "[^GC]", "")) / F.length("bases")).withColumn("ns", F.length(F.regexp_replace("bases", "[^N]", "")))
     x = aligned_to_reference(r, reference, *keep).filter((F.col("base") != "N") & (F.col("ref") != "N") & (F.col("quality") >= min_quality))
-    x = x.select(*(c.alias(k) for k, c in by.items()), (F.col("base") != F.col("ref")).alias("_err")).dropna(subset=list(by))
+    x = x.select(*(c.alias(k) for k, c in by.items()), (F.col("base") != F.col("ref")).alias("_err"))
+    if each:  # one array of (directive, covariate)
+        x = x.select(F.explode("_d").alias("_d"), "_err").select("_d.*", "_err")
+        by = {"directive": None, "covariate": None}
+    x = x.dropna(subset=list(by))
     counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("total_bases"), R.count_true(F.col("_err")).alias("error_bases"))
     return counts.withColumn("q_score", R.bayesian_quality(F.col("error_bases"), F.col("total_bases")))
 
@@ -147,6 +151,11 @@ def _run() -> Column:
     return F.when(_back(), F.expr("length(regexp_extract(substr(read_bases, offset + 2), concat('^(', base, '*)'), 1))")).otherwise(F.expr("length(regexp_extract(substr(read_bases, 1, offset), concat('(', base, '*)$'), 1))"))
 
 
+def _bin(c: str, size: int = 2500) -> Column:
+    """A place on the flowcell in bins, truncated; -1 (unknown) falls into bin 0."""
+    return (F.coalesce(F.col(c), F.lit(-1)) / F.lit(size)).cast("int")
+
+
 def strata() -> dict[str, Column]:
     """The named strata of the error metrics, as expressions over a base, its record and the reference."""
     f = F.col
@@ -158,10 +167,29 @@ def strata() -> dict[str, Column]:
         "post_dinuc": F.concat(_strand("ref"), _neighbour(1)), "homopolymer": F.when(_neighbour(-1).isNotNull(), F.concat_ws(",", _run().cast("string"), _neighbour(-1), _strand("ref"))), "binned_homopolymer": F.when(_run() >= 6, "LONG_HOMOPOLYMER").otherwise("SHORT_HOMOPOLYMER"),
         "flowcell_tile": f("tile"), "insert_length": F.least(10 * f("len"), F.abs("tlen")), "soft_clips": R.op_total("S"), "mismatches_in_read": mismatches, "one_base_padded_context": F.concat(_neighbour(-1), _strand("ref"), _neighbour(1)), "read_group": f("rg"), "mapping_quality": f("mapq"),
         "binned_cycle": F.least(F.floor(5.0 * (_cycle() - 1) / f("len")) + 1, F.lit(5)).cast("int"), "ns_in_read": f("ns"), "insertions_in_read": R.op_total("I"), "deletions_in_read": R.op_total("D"), "indels_in_read": R.op_total("ID"),
+        "flowcell_x": _bin("x"), "flowcell_y": _bin("y"), "two_base_padded_context": F.concat(_neighbour(-2), _neighbour(-1), _strand("ref"), _neighbour(1), _neighbour(2)), "indel_length": F.lit(0),
         "pair_properness": F.when(R.has(R.PAIRED), F.when(R.has(R.PROPER), "PROPER").otherwise("IMPROPER")),
     }
 
 
+def error_directives(reads: DataFrame, reference: DataFrame, directives: list[str], min_quality: int = 0) -> DataFrame:
+    """Errors by several directives in one pass: (directive, covariate, total_bases, error_bases, q_score).
+
+    A directive is ERROR, then strata after colons, as in ERROR:BASE_QUALITY:CYCLE; without any, all bases. The covariate joins the strata's values by commas. Each base is counted for all directives before the shuffle,
+    which carries a row for each of their values.
+    """
+    known = strata()
+    picked: dict[str, list[str]] = {}
+    for text in directives:
+        kind, *names = text.split(":")
+        if kind != "ERROR" or any(x.lower() not in known for x in names):
+            raise ValueError(f"unknown directive {text}")
+        picked[text] = [x.lower() for x in names] or ["all"]
+    joined = {text: F.concat(*[x for i, name in enumerate(names) for x in ([F.lit(",")] if i else []) + [known[name].cast("string")]]) for text, names in picked.items()}
+    every = F.array(*(F.struct(F.lit(text).alias("directive"), covariate.alias("covariate")) for text, covariate in joined.items()))
+    return error_counts(reads, reference, {"_d": every}, min_quality, each=True)
+
+
 def indel_errors(reads: DataFrame) -> DataFrame:
     """Insertions and deletions of usable records, their bases and the aligned bases, by read group."""
     r = usable(reads)
@@ -199,6 +227,44 @@ def artifacts(reads: DataFrame, reference: DataFrame, min_quality: int = 20) ->
     return x.groupBy(F.col("ref").alias("ref_base"), F.col("base").alias("called"), "context").agg(F.count(F.lit(1)).alias("bases"), R.count_true(~R.has(R.REVERSE)).alias("forward"), R.count_true(R.has(R.FIRST)).alias("first_end"))
 
 
+#: The least error rate that artifact metrics report.
+MIN_ERROR = 1e-10
+
+
+def artifact_rates(reads: DataFrame, reference: DataFrame, min_quality: int = 20) -> DataFrame:
+    """Pre-adapter and bait-bias artifacts by reference base, substitution and three-base context.
+
+    A base whose read end fits its strand (first end forward, second reverse) speaks for the artifact in its own context and against it in the reverse-complemented one, so each is counted on both sides; the pre-adapter rate is the
+    surplus of the side for it over all bases, bait bias the forward context's share of alternates less the reverse one's. Rates are at least 1e-10, Q scores rounded.
+    """
+    x = aligned_to_reference(usable(reads), reference, "flags", context=True).filter((F.col("quality") >= min_quality) & (F.col("base") != "N") & F.col("context").isNotNull() & ~F.col("context").contains("N"))
+    fits = (~R.has(R.SECOND)) == (~R.has(R.REVERSE))
+    c = x.groupBy("context", "base", fits.alias("fits")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.struct("context", F.col("base").alias("called"), F.col("fits").alias("pro"), F.lit(True).alias("fwd"))
+    other = F.struct(R.reverse_complement("context").alias("context"), R.complement("base").alias("called"), (~F.col("fits")).alias("pro"), F.lit(False).alias("fwd"))
+    both = c.select("n", F.explode(F.array(own, other)).alias("o")).select("n", "o.*")
+    sums = both.groupBy("context", "called").agg(*(R.sum_if(when, F.col("n")).alias(name) for name, when in (("pro", F.col("pro")), ("con", ~F.col("pro")), ("f", F.col("fwd")), ("r", ~F.col("fwd")))))
+    of = F.substring("context", 2, 1)
+    ref = sums.filter(F.col("called") == of).select("context", *(F.col(k).alias(f"{k}_ref") for k in ("pro", "con", "f", "r")))
+    alts = sums.select("context").distinct().withColumn("alt_base", F.explode(F.array(*map(F.lit, "ACGT")))).filter(F.col("alt_base") != of)
+    j = alts.join(ref, "context", "left").join(sums.select("context", F.col("called").alias("alt_base"), *(F.col(k).alias(f"{k}_alt") for k in ("pro", "con", "f", "r"))), ["context", "alt_base"], "left").fillna(0)
+    f = F.col
+    floor = lambda rate: F.greatest(F.coalesce(rate, F.lit(MIN_ERROR)), F.lit(MIN_ERROR))
+    pre = floor(R.ratio(f("pro_alt") - f("con_alt"), f("pro_ref") + f("pro_alt") + f("con_ref") + f("con_alt")))
+    bias = floor(floor(R.ratio(f("f_alt"), f("f_ref") + f("f_alt"))) - floor(R.ratio(f("r_alt"), f("r_ref") + f("r_alt"))))
+    return j.select(
+        of.alias("ref_base"), "alt_base", "context", f("pro_ref").alias("pro_ref_bases"), f("pro_alt").alias("pro_alt_bases"), f("con_ref").alias("con_ref_bases"), f("con_alt").alias("con_alt_bases"), R.rounded(pre, 9).alias("error_rate"), R.phred(pre).alias("qscore"),
+        f("f_ref").alias("fwd_cxt_ref_bases"), f("f_alt").alias("fwd_cxt_alt_bases"), f("r_ref").alias("rev_cxt_ref_bases"), f("r_alt").alias("rev_cxt_alt_bases"), R.rounded(bias, 9).alias("bait_error_rate"), R.phred(bias).alias("bait_qscore"),
+    )
+
+
+def worst_contexts(rates: DataFrame, rate: str = "error_rate", score: str = "qscore") -> DataFrame:
+    """Of each substitution the context of the highest rate (the first by name on ties) with its Q score, and the Q score of all contexts together."""
+    total = R.ratio(F.sum(F.col("pro_alt_bases") - F.col("con_alt_bases")), F.sum(F.col("pro_ref_bases") + F.col("pro_alt_bases") + F.col("con_ref_bases") + F.col("con_alt_bases")))
+    worst = F.max_by(F.struct("context", F.col(score).alias("q")), F.struct(F.col(rate), F.translate("context", "ACGT", "dcba")))
+    return rates.groupBy("ref_base", "alt_base").agg(worst.alias("w"), R.phred(F.greatest(total, F.lit(MIN_ERROR))).alias("total_qscore")).select("ref_base", "alt_base", F.col("w.context").alias("worst_cxt"), F.col("w.q").alias("worst_cxt_qscore"), "total_qscore")
+
+
 def nm_uq(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """Per usable record: nm (mismatches plus inserted and deleted bases) and uq (sum of qualities at mismatches)."""
     r = usable(reads)

@@ -38,7 +38,9 @@ def site_filters(v: DataFrame, min_qual: float = 30.0, max_fs: float = 60.0, min
 
 
 def genotypes(v: DataFrame) -> DataFrame:
-    """One row for each sample of a site: alleles a <= b, gq, dp and ad of the first alternative."""
+    """One row for each sample of a site: alleles a <= b, gq, dp and ad of the first alternative. Samples are an array ``calls``, of any number, or the numbered columns of a trio."""
+    if "calls" in v.columns:
+        return v.select(*[c for c in v.columns if c not in ("calls", "dp")], F.explode("calls").alias("g")).select("*", "g.*").drop("g")
     s = lambda i, name: F.struct(F.lit(name).alias("sample"), F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b"), F.col(f"gq{i}").alias("gq"), F.col(f"dp{i}").alias("dp"), F.col(f"ad{i}").alias("ad"))
     return v.select("*", F.explode(F.array(s(0, "father"), s(1, "mother"), s(2, "child"))).alias("g")).select(*[c for c in v.columns if c not in {f"{x}{i}" for x in ("a", "b", "gq", "dp", "ad") for i in range(3)}], "g.*")
 
@@ -78,6 +80,14 @@ def singletons(v: DataFrame) -> DataFrame:
     return one.groupBy("sample").agg(F.count(F.lit(1)).alias("num_singletons"))
 
 
+def trio(v: DataFrame, father: str, mother: str, child: str) -> DataFrame:
+    """Sites with the calls of three samples as numbered columns (0 father, 1 mother, 2 child); those where one is not called are left out."""
+    one = lambda name: F.get(F.filter("calls", lambda c: c["sample"] == name), F.lit(0))
+    picked = v.withColumns({f"_s{i}": one(name) for i, name in enumerate((father, mother, child))})
+    out = picked.withColumns({f"{x}{i}": F.col(f"_s{i}")[x] for i in range(3) for x in ("a", "b", "gq", "dp", "ad")})
+    return out.filter("a0 is not null and a1 is not null and a2 is not null").drop("calls", "_s0", "_s1", "_s2")
+
+
 def mendelian(v: DataFrame, min_gq: int = 10, min_dp: int = 6) -> DataFrame:
     """Violations of the trio over good SNP sites, by class."""
     g = v.filter((variant_type() == "SNP") & ~F.col("filtered") & (F.least("gq0", "gq1", "gq2") >= min_gq) & (F.least("dp0", "dp1", "dp2") >= min_dp))

@@ -74,7 +74,7 @@ STRATA = {
     "reference_base": COMP("ref"), "post_dinuc": f"{COMP('ref')} || ({NEXT(1)})", "homopolymer": f"CAST({RUN} AS STRING) || ',' || ({NEXT(-1)}) || ',' || {COMP('ref')}", "binned_homopolymer": f"CASE WHEN {RUN} >= 6 THEN 'LONG_HOMOPOLYMER' ELSE 'SHORT_HOMOPOLYMER' END",
     "flowcell_tile": "tile", "insert_length": "least(10 * len, abs(tlen))", "soft_clips": "CASE WHEN ck IN (3, 4) THEN 4 ELSE 0 END", "mismatches_in_read": "nm - CASE WHEN base <> ref THEN 1 ELSE 0 END", "one_base_padded_context": f"({NEXT(-1)}) || {COMP('ref')} || ({NEXT(1)})",
     "read_group": "rg", "mapping_quality": "mapq", "binned_cycle": f"CAST(least(floor(5.0::DOUBLE * (({CYC}) - 1) / len) + 1, 5) AS INT)", "ns_in_read": "length(regexp_replace(bases, '[^N]', '', 'g'))",
-    "insertions_in_read": "CASE WHEN ck = 2 THEN 3 ELSE 0 END", "deletions_in_read": "CASE ck WHEN 1 THEN 5 WHEN 7 THEN 2 ELSE 0 END", "indels_in_read": "CASE ck WHEN 2 THEN 3 WHEN 1 THEN 5 WHEN 7 THEN 2 ELSE 0 END", "pair_properness": "CASE WHEN flags & 1 = 1 THEN CASE WHEN flags & 2 <> 0 THEN 'PROPER' ELSE 'IMPROPER' END END",
+    "insertions_in_read": "CASE WHEN ck = 2 THEN 3 ELSE 0 END", "deletions_in_read": "CASE ck WHEN 1 THEN 5 WHEN 7 THEN 2 ELSE 0 END", "indels_in_read": "CASE ck WHEN 2 THEN 3 WHEN 1 THEN 5 WHEN 7 THEN 2 ELSE 0 END", "flowcell_x": "CAST(trunc(x / 2500) AS INT)", "flowcell_y": "CAST(trunc(y / 2500) AS INT)", "two_base_padded_context": f"({NEXT(-2)}) || ({NEXT(-1)}) || {COMP('ref')} || ({NEXT(1)}) || ({NEXT(2)})", "indel_length": "0", "pair_properness": "CASE WHEN flags & 1 = 1 THEN CASE WHEN flags & 2 <> 0 THEN 'PROPER' ELSE 'IMPROPER' END END",
 }
 
 
@@ -154,3 +154,53 @@ def _(t):
 @query("gc_dropout", f"{BIAS}, d AS (SELECT gc, greatest(100.0::DOUBLE * windows / (SELECT sum(windows) FROM bias) - 100.0::DOUBLE * read_starts / (SELECT sum(read_starts) FROM bias), 0) AS d FROM bias) SELECT {r('coalesce(sum(d) FILTER (gc <= 50), 0)', 4)} AS at_dropout, {r('coalesce(sum(d) FILTER (gc > 50), 0)', 4)} AS gc_dropout FROM d", "reads", "reference")
 def _(t):
     return P.gc_dropout(P.gc_bias(t.reads, t.reference))
+
+
+def _directive(text: str, covariate: str) -> str:
+    return f"""SELECT '{text}' AS directive, covariate, {n('count(*)')} AS total_bases, {n('count(*) FILTER (err)')} AS error_bases, CAST(floor(-10 * log10((count(*) FILTER (err) + 0.001::DOUBLE) / (count(*) + 1)) + 0.5) AS INT) AS q_score
+ FROM (SELECT {covariate} AS covariate, base <> ref AS err FROM x WHERE base <> 'N' AND ref <> 'N') WHERE covariate IS NOT NULL GROUP BY covariate"""
+
+
+DIRECTIVES = {"ERROR": "'all'", "ERROR:READ_GROUP": "rg", "ERROR:BASE_QUALITY:READ_DIRECTION": f"CAST(quality AS STRING) || ',' || {STRATA['read_direction']}", "ERROR:ONE_BASE_PADDED_CONTEXT": STRATA["one_base_padded_context"], "ERROR:CYCLE": f"CAST({CYC} AS STRING)"}
+
+
+@query("error_directives", f"{WITH_REF} {' UNION ALL '.join(_directive(k, v) for k, v in DIRECTIVES.items())}", "reads")
+def _(t):
+    return P.error_directives(t.solid_reads, t.reference, list(DIRECTIVES))
+
+
+FLOOR = lambda a, b: f"greatest(CASE WHEN ({b}) = 0 THEN 1e-10 ELSE CAST({a} AS DOUBLE) / ({b}) END, 1e-10)"
+RATES = f"""{WITH_REF}, c AS (SELECT context, base, (flags & 128 = 0) = (flags & 16 = 0) AS fits, count(*) AS n FROM x WHERE quality >= 20 AND base <> 'N' AND context IS NOT NULL AND context NOT LIKE '%N%' GROUP BY ALL),
+ o AS (SELECT context, base AS called, fits AS pro, true AS fwd, n FROM c UNION ALL SELECT translate(reverse(context), 'ACGT', 'TGCA'), translate(base, 'ACGT', 'TGCA'), NOT fits, false, n FROM c),
+ s AS (SELECT context, called, coalesce(sum(n) FILTER (pro), 0) AS pro, coalesce(sum(n) FILTER (NOT pro), 0) AS con, coalesce(sum(n) FILTER (fwd), 0) AS f, coalesce(sum(n) FILTER (NOT fwd), 0) AS r FROM o GROUP BY ALL),
+ j AS (SELECT a.context, substr(a.context, 2, 1) AS ref_base, alt_base, coalesce(x.pro, 0) AS pr, coalesce(x.con, 0) AS cr, coalesce(x.f, 0) AS fr, coalesce(x.r, 0) AS rr, coalesce(y.pro, 0) AS pa, coalesce(y.con, 0) AS ca, coalesce(y.f, 0) AS fa, coalesce(y.r, 0) AS ra
+   FROM (SELECT DISTINCT context FROM s) a CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) b(alt_base) LEFT JOIN s x ON x.context = a.context AND x.called = substr(a.context, 2, 1) LEFT JOIN s y ON y.context = a.context AND y.called = alt_base WHERE alt_base <> substr(a.context, 2, 1)),
+ e AS (SELECT *, {FLOOR('pa - ca', 'pr + cr + pa + ca')} AS pre, greatest({FLOOR('fa', 'fr + fa')} - {FLOOR('ra', 'rr + ra')}, 1e-10) AS bias FROM j)"""
+Q10 = lambda p: f"CAST(floor(-10 * log10({p}) + 0.5) AS INT)"
+
+
+@query("artifact_rates", f"""{RATES} SELECT ref_base, alt_base, context, {n('pr')} AS pro_ref_bases, {n('pa')} AS pro_alt_bases, {n('cr')} AS con_ref_bases, {n('ca')} AS con_alt_bases, {r('pre', 9)} AS error_rate, {Q10('pre')} AS qscore,
+ {n('fr')} AS fwd_cxt_ref_bases, {n('fa')} AS fwd_cxt_alt_bases, {n('rr')} AS rev_cxt_ref_bases, {n('ra')} AS rev_cxt_alt_bases, {r('bias', 9)} AS bait_error_rate, {Q10('bias')} AS bait_qscore FROM e""", "reads")
+def _(t):
+    return P.artifact_rates(t.solid_reads, t.reference)
+
+
+@query("artifact_worst_contexts", f"""{RATES}, w AS (SELECT *, {r('pre', 9)} AS rate, row_number() OVER (PARTITION BY ref_base, alt_base ORDER BY {r('pre', 9)} DESC, context) AS k FROM e),
+ t AS (SELECT ref_base, alt_base, {Q10("greatest(CAST(sum(pa - ca) AS DOUBLE) / sum(pr + pa + cr + ca), 1e-10)")} AS total_qscore FROM e GROUP BY ALL)
+ SELECT ref_base, alt_base, context AS worst_cxt, {Q10('pre')} AS worst_cxt_qscore, total_qscore FROM w JOIN t USING (ref_base, alt_base) WHERE k = 1""", "reads")
+def _(t):
+    return P.worst_contexts(P.artifact_rates(t.solid_reads, t.reference))
+
+
+COVERAGE = lambda where, hist: f"""SELECT {n('count(*)')} AS territory, {r('avg(depth)')} AS mean_coverage, {r('stddev_samp(depth)', 4)} AS sd_coverage, CAST(quantile_cont(depth, 0.5) AS DOUBLE) AS median_coverage,
+ CASE WHEN quantile_cont(depth, 0.2) = 0 THEN NULL ELSE {r('avg(depth) / quantile_cont(depth, 0.2)', 4)} END AS fold_80_base_penalty, {', '.join(r(f'count(*) FILTER (depth >= {t}) / count(*)') + f' AS pct_{t}x' for t in (1, 5, 10, 15, 20, 25, 30))} FROM (SELECT CAST(unnest(range(0, positions)) AS BIGINT) AS i, depth FROM {hist}) {where}"""
+
+
+@query("raw_wgs_metrics", f"{DEPTH.replace('quality < 20', 'quality < 3').replace('mapq >= 20 AND ', '').replace('250', '100000')} {COVERAGE('', 'hist')}", "reads")
+def _(t):
+    return P.coverage_metrics(P.depth_histogram(P.base_fates(t.reads, min_mapq=0, min_quality=3, cap=100_000), TERRITORY))
+
+
+@query("wgs_metrics_nonzero", f"{DEPTH} {COVERAGE('WHERE depth > 0', 'hist')}", "reads")
+def _(t):
+    return P.coverage_metrics(P.depth_histogram(P.base_fates(t.reads), TERRITORY).filter("depth > 0"))

@@ -156,6 +156,9 @@ def encode(rows: list[dict], contigs: list[tuple[str, int]], header: str = "@HD\
     return b"".join([*blocks, _EOF])
 
 
-def read_bam(spark, path: str) -> DataFrame:
+def read_bam(spark, path: str, groups: DataFrame | None = None) -> DataFrame:
+    """Records of BAM files in canonical columns; ``groups`` (rg, library, sample) names the libraries of read groups."""
+    from .text import canonical
+
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").load(path)
+    return canonical(spark.read.format("bam").load(path), groups=groups)

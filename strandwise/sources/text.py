@@ -30,11 +30,46 @@ def _table(spark: SparkSession, path: str, *fields: tuple[str, str], skip: str =
     return split.select(*(F.get("f", i).cast(kind).alias(name) for i, (name, kind) in enumerate(fields)))
 
 
+def canonical(reads: DataFrame, contigs: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Records (with tags as a map) with the columns that the operators ask for besides: contig and mate_contig as places in the dictionary (-1: none), rg, library and sample by their read group, umi, nm, len, and tile, x, y from the name.
+
+    ``contigs`` is (contig, contig_name), ``groups`` (rg, library, sample), both of a header's size. Columns that are there already stay.
+    """
+    have = set(reads.columns)
+    x = reads
+    if contigs is not None and "contig" not in have:
+        for name, out in (("contig_name", "contig"), ("mate_contig_name", "mate_contig")):
+            x = x.join(contigs.select(F.col("contig").alias(f"_{out}"), F.col("contig_name").alias(name)), name, "left").withColumn(out, F.coalesce(f"_{out}", F.lit(-1))).drop(f"_{out}")
+    tag = lambda k: F.col("tags")[k]
+    found = {"rg": tag("RG"), "umi": tag("RX"), "nm": tag("NM").cast("int"), "len": F.length("bases"), "_at": R.location()}
+    x = x.withColumns({k: v for k, v in found.items() if k not in have})
+    x = x.withColumns({k: F.col("_at")[k] for k in ("tile", "x", "y") if k not in have}).drop("_at")
+    if groups is None:
+        return x.withColumns({k: F.lit(None).cast("string") for k in ("library", "sample") if k not in have})
+    return x.join(groups.select("rg", "library", "sample"), "rg", "left")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, contig_name, length): the @SQ lines of a header, numbered from 0 in their order."""
+    h = read_header(spark, path, "SQ")
+    return h.select((F.row_number().over(Window.orderBy("line")) - 1).cast("int").alias("contig"), F.col("fields")["SN"].alias("contig_name"), F.col("fields")["LN"].cast("int").alias("length"))
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(rg, library, sample): the @RG lines of a header."""
+    return read_header(spark, path, "RG").select(F.col("fields")["ID"].alias("rg"), F.col("fields")["LB"].alias("library"), F.col("fields")["SM"].alias("sample"))
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of SAM text in canonical columns: contig_name, 1-based pos, qualities as numbers, tags as a map; idx is the line number.
+    """Records of SAM text in canonical columns, ready for the operators: idx is the line number, pos 1-based, qualities are numbers, tags a map; contigs, libraries and samples come from the file's header.
 
     A line of fewer than 11 fields is an error.
     """
+    return canonical(sam_records(spark, path), read_dictionary(spark, path), read_groups(spark, path))
+
+
+def sam_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of SAM text by themselves: contigs by name, tags as a map. A line of fewer than 11 fields is an error."""
     lines = numbered_lines(spark, path).filter((F.col("value") != "") & ~F.startswith("value", F.lit("@")))
     f = lines.select(F.col("line").alias("idx"), F.split("value", "\t").alias("f"))
     f = f.withColumn("f", F.when(F.size("f") >= 11, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("truncated record at line "), F.col("idx").cast("string")))))
@@ -49,7 +84,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 def read_header(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Header lines of one kind (HD, SQ, RG, PG) as maps of their fields, with their line number."""
     lines = numbered_lines(spark, path).filter(F.startswith("value", F.lit(f"@{kind}\t")))
-    return lines.select("line", F.expr("map_from_entries(transform(slice(split(value, '\\t'), 2, 1000), t -> struct(substr(t, 1, 2), substr(t, 4))))").alias("fields"))
+    return lines.select("line", F.expr("map_from_entries(transform(slice(split(value, '\\t'), 2, greatest(size(split(value, '\\t')) - 1, 0)), t -> struct(substr(t, 1, 2), substr(t, 4))))").alias("fields"))
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
@@ -138,6 +173,17 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return x.select("idx", _field(0, "contig_name"), _field(1, "pos", "int"), _field(2, "id"), _field(3, "ref"), F.when(F.col("f")[4] == ".", "").otherwise(F.col("f")[4]).alias("alts"), F.when(F.col("f")[5] != ".", F.col("f")[5]).cast("double").alias("qual"), F.expr("filter(split(f[6], ';'), x -> x not in ('.', 'PASS', ''))").alias("filters"), info.alias("info"), g.alias("genotypes"))
 
 
+def canonical_variants(v: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Rows of ``read_vcf`` with the columns that the variant operators ask for: k, contig, filtered, in_dbsnp (the site has an id), dp, fs and qd from INFO, and calls, an array of (sample, a, b, gq, dp, ad): alleles a <= b,
+    null where missing, a haploid call twice, ad of the first alternative. Any number of samples."""
+    g = """transform(genotypes, g -> named_struct('sample', g.sample, 'al', array_sort(transform(filter(split(coalesce(g.fields['GT'], '.'), '[/|]'), x -> x <> ''), x -> try_cast(x as int))), 'gq', try_cast(g.fields['GQ'] as int), 'dp', try_cast(g.fields['DP'] as int), 'ad', try_cast(get(split(g.fields['AD'], ','), 1) as int)))"""
+    calls = f"transform({g}, g -> named_struct('sample', g.sample, 'a', get(g.al, 0), 'b', get(g.al, size(g.al) - 1), 'gq', g.gq, 'dp', g.dp, 'ad', g.ad))"
+    x = v.join(contigs.select("contig", "contig_name"), "contig_name", "left")
+    info = lambda k, kind: F.expr(f"try_cast(info['{k}'] as {kind})")
+    filtered = F.size(F.filter("filters", lambda f: ~f.isin("PASS", ".", ""))) > 0
+    return x.withColumns({"k": F.col("idx"), "filtered": F.coalesce(filtered, F.lit(False)), "in_dbsnp": F.col("id").isNotNull() & (F.col("id") != "."), "dp": info("DP", "int"), "fs": info("FS", "double"), "qd": info("QD", "double"), "calls": F.expr(calls)}).drop("genotypes")
+
+
 def vcf_lines(v: DataFrame) -> DataFrame:
     """Sites (contig_name, pos, id, ref, alts, qual, filters, info) as text lines."""
     info = F.expr("if(info is null or size(info) = 0, '.', array_join(transform(array_sort(map_entries(info)), e -> if(e.value = 'true', e.key, concat(e.key, '=', e.value))), ';'))")
