@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import materialize, ship
+from .work import join_counted, materialize, ship
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -172,7 +172,9 @@ def known(scanned: DataFrame, rounds: int | None = None, least_support: int = 4,
     marked = edges.select("pattern", "value").join(base.select("kind", "value"), "value", "left")
     # a pattern of fewer values never has the support, one without unknown values finds none
     totals = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count("kind").alias("seeds")).filter((F.col("total") >= least_support) & (F.col("total") > F.col("seeds"))).select("pattern", "total")
-    live = materialize(marked.join(totals, "pattern"), "pii-live")
+    totals = materialize(totals.withColumn("rows", F.col("total")), "pii-totals")
+    n = edges.count()
+    live = materialize(join_counted(marked, totals, "pattern", "rows", n), "pii-live")
 
     def hits(known: DataFrame) -> DataFrame:
         return live.select("pattern", "value", "total").join(known.select("value", "kind", "score"), "value").groupBy("pattern", "kind", "total").agg(F.sum("score").alias("hits"))
@@ -180,8 +182,9 @@ def known(scanned: DataFrame, rounds: int | None = None, least_support: int = 4,
     found, support, done = base.withColumn("seed", F.lit(True)), materialize(hits(base), "pii-support"), 0
     while rounds is None or done < rounds:
         confident = support.withColumn("confidence", F.col("hits") / (F.col("total") + 1)).filter((F.col("hits") >= least_support) & (F.col("confidence") >= least_share))
-        confident = materialize(confident.select("pattern", "kind", "confidence"), "pii-confident")
-        levels = live.filter("kind is null").select("pattern", "value").join(confident, "pattern").groupBy("value", "kind", F.substring("pattern", 1, 1).alias("level")).agg(F.max("confidence").alias("c"))
+        confident = materialize(confident.groupBy("pattern", "total").agg(F.collect_list(F.struct("kind", "confidence")).alias("kinds")), "pii-confident")
+        met = join_counted(live.filter("kind is null").select("pattern", "value"), confident, "pattern", "total", n)
+        levels = met.select("pattern", "value", F.inline("kinds").alias("kind", "c")).groupBy("value", "kind", F.substring("pattern", 1, 1).alias("level")).agg(F.max("c").alias("c"))
         scored = levels.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("c"), F.lit(0.999)))))).alias("score"))
         best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).filter(F.col("b.score") >= least_score)
         new = materialize(best.select("b.kind", "value", "b.score").join(found.select("value"), "value", "left_anti").select("kind", "value", "score", F.lit(False).alias("seed")), "pii-new")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import materialize, ship
+from .work import join_counted, materialize, ship
 
 SEED = 42
 _FLIP = np.uint64(1 << 63)
@@ -220,11 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     classes = materialize(_classes(distinct, budget).select("fp", "component_id", "n"), "classes")
-    common = F.col("n") > prints.count() / 10_000
-    hot = classes.filter(common).select("fp", "component_id", F.lit(True).alias("hot"))
-    marked = prints.join(F.broadcast(hot), "fp", "left")
-    rare = marked.filter("hot is null").select("id", "fp").join(classes.filter(~common).select("fp", "component_id"), "fp")
-    every = marked.filter("hot").select("id", "fp", "component_id").unionByName(rare.select("id", "fp", "component_id"))
+    every = join_counted(prints, classes, "fp", "n", prints.count())
     return every.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

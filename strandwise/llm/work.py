@@ -51,6 +51,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has a row for each ``key`` and in ``count`` how many rows have it (dropped). Keys of over a ten-thousandth of the ``total`` rows, so at most 10,000 keys, are sent to the rows; the others, of which none is large, are joined by a shuffle."""
+    common = F.col(count) > total / 10_000
+    marked = rows.join(F.broadcast(table.filter(common).drop(count).withColumn("_hot", F.lit(True))), key, "left")
+    rare = marked.filter("_hot is null").select(*rows.columns).join(table.filter(~common).drop(count), key)
+    return marked.filter("_hot").drop("_hot").unionByName(rare)
+
+
 def order_hash(*cols: Column) -> Column:
     """A fixed pseudo-random signed 64-bit order key."""
     return F.xxhash64(F.lit("order"), *cols)
