@@ -62,7 +62,12 @@ def _dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     narrow = rows.select("id", "source", "size", "_h", *extra)
     t = table.withColumnRenamed("source", "_source")
     narrow = narrow.join(t, narrow["source"].eqNullSafe(t["_source"])).drop("_source", "source")
-    counted = numbered(narrow, ["place"], "_h", ["id", "size"], weight="size", max_bucket=4_000 if whole_rows else None, rows=sizes.count(), key_bits=60)
+    if whole_rows:
+        counted = numbered(narrow, ["place"], "_h", ["id", "size"], weight="size", max_bucket=4_000, rows=sizes.count(), key_bits=60)
+    else:  # equal rows are one until they are numbered, so that a row repeated very often is no task's burden
+        equal = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_equal")).withColumn("_words", F.col("size") * F.col("_equal"))
+        counted = numbered(equal, ["place"], "_h", ["id", "size"], weight="_words", rows=sizes.count(), key_bits=60)
+        counted = counted.withColumn("_k", F.explode(F.expr("sequence(0L, _equal - 1)"))).withColumn("before", F.col("before") + F.col("_k") * F.col("size"))
     goal, whole = F.round("target").cast("long"), F.col("source_size")
     passes = [goal - whole * k - F.col("before") for k in range(cap)]
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), p)) for p in passes[1:]), F.greatest(F.lit(0), F.least(F.col("size"), passes[0])))

@@ -80,8 +80,12 @@ def shard_rows(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = Non
     rows = rows.select("id", *extra, *(["_order"] if order is not None else []), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), place(key, tree).alias("shard"), (place(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
     rows = rows.withColumn("_h", order_hash(F.col("id"), F.col("text_crc32")))
     rows = rows if whole_rows else materialize(rows, "shards")
-    if order is None:
-        out = numbered(rows, ["shard"], "_h", ["id", "text_crc32", "size"], max_bucket=4_000 if whole_rows else None)
+    if order is None and whole_rows:
+        out = numbered(rows, ["shard"], "_h", ["id", "text_crc32", "size"], max_bucket=4_000)
+    elif order is None:  # equal rows are one until they are numbered
+        equal = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_equal"))
+        out = numbered(equal, ["shard"], "_h", ["id", "text_crc32", "size"], weight="_equal", rows=rows.count())
+        out = out.withColumn("_k", F.explode(F.expr("sequence(0L, _equal - 1)"))).withColumn("slot", F.col("before") + F.col("_k"))
     else:
         out = numbered(rows, ["shard"], "_order", ["_h"], bucket=F.shiftright("_order", 12))
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", *extra)

@@ -51,6 +51,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what operators wrote to the shared folder. Results that were not written out can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/strandwise")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined to ``table``, which has a row for each ``key`` and in ``count`` how many rows have it (dropped). Keys of over a ten-thousandth of the ``total`` rows, so at most 10,000 keys, are sent to the rows; the others, of which none is large, are joined by a shuffle."""
     common = F.col(count) > total / 10_000

@@ -537,6 +537,21 @@ def test_query_equals_sql(spark, name):
     assert rows(queries.QUERIES[name](spark, SMALL).toPandas()) == rows(db.execute(queries.ORACLE_SQL[name]).fetchdf())
 
 
+def test_rows_repeated_very_often(spark):
+    """Half of all rows are one row: every copy is numbered by itself."""
+    df = spark.createDataFrame([(7, "a b c", "s")] * 3000 + [(i, f"w{i} x", "s") for i in range(3000)], "doc_id long, text string, source string")
+    rows = sharding.shard_rows(df, sharding.layout(16)).collect()
+    for shard in {r.shard for r in rows}:
+        mine = sorted(r.slot for r in rows if r.shard == shard)
+        assert mine == list(range(len(mine)))
+    same = [r.slot for r in rows if r.doc_id == 7 and r.size == 6]
+    assert len(same) == len(set(same)) == 3000
+    mix = mixing.mix(df).collect()
+    assert len(mix) == 6000 and sum(r.taken for r in mix) == 15000 == mix[0].target
+    ends = sorted(p for r in mix for p in r.positions)
+    assert len(set(ends)) == 6000 and max(ends) < 1
+
+
 def test_small_trees_are_refused():
     with pytest.raises(ValueError):
         sharding.layout(12)
