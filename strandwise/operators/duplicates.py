@@ -98,6 +98,17 @@ def optical_links(reads: DataFrame, distance: int = 100, cell: int | None = None
     return joined.select(F.col("idx").alias("a"), "b")
 
 
+def optical_flags(reads: DataFrame, distance: int = 100) -> DataFrame:
+    """(library, idx): the templates that are optical duplicates. Links within a duplicate set, read group and tile make clusters, also over others; of a cluster the set's representative stays, or where it isn't
+    there the template of least x, then y, then ordinal; all others are optical."""
+    from .annotation import clusters
+
+    c = clusters(optical_links(reads, distance)).select(F.col("node").alias("idx"), "label")
+    p = pair_sets(reads).select("library", "idx", "x", "y", (F.col("idx") == F.col("representative")).alias("keeper"))
+    w = Window.partitionBy("label").orderBy(F.col("keeper").desc(), "x", "y", "idx")
+    return p.join(c, "idx").withColumn("_n", F.row_number().over(w)).filter("_n > 1").select("library", "idx")
+
+
 def optical_counts(reads: DataFrame, distance: int = 100) -> DataFrame:
     """By library: linked pairs of templates, and templates with an earlier one within reach."""
     links = optical_links(reads, distance)

@@ -97,6 +97,35 @@ def scatter(intervals: DataFrame, parts: int) -> DataFrame:
     return x.select("contig", "start", "stop", "name", F.least(F.floor((F.col("head") + F.col("_in")) * parts / F.col("all")), F.lit(parts - 1)).cast("int").alias("part"))
 
 
+def scatter_by_count(intervals: DataFrame, parts: int, spread: bool = False) -> DataFrame:
+    """Whole intervals dealt in order into ``parts`` lists of equal counts: what is left over goes to the last list, or with ``spread`` one each to the first ones."""
+    from .rewrite import numbered_records
+
+    n = intervals.count()
+    x = numbered_records(intervals.withColumn("_at", F.col("contig").cast("long") * (1 << 32) + F.col("start")), "_at", ties=["stop", "name"])
+    each, over = n // parts, n % parts
+    o = F.col("ordinal")
+    if spread:
+        part = F.when(o < over * (each + 1), F.floor(o / (each + 1))).otherwise(over + F.floor((o - over * (each + 1)) / max(each, 1)))
+    else:
+        part = F.least(F.floor(o / max(each, 1)), F.lit(parts - 1))
+    return x.withColumn("part", part.cast("int")).drop("_at", "ordinal")
+
+
+def scatter_subdivided(intervals: DataFrame, parts: int) -> DataFrame:
+    """Merged intervals cut into ``parts`` lists of equal bases, the rest in the last: each is cut wherever a list is full. Bases before an interval are summed up by contig first."""
+    m = merged(intervals).select("contig", "start", "stop").withColumn("_size", (F.col("stop") - F.col("start") + 1).cast("long"))
+    totals = m.groupBy("contig").agg(F.sum("_size").alias("n"))
+    heads = totals.select("contig", F.coalesce(F.sum("n").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_head"), F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    inside = Window.partitionBy("contig").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    x = m.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(heads, "contig").withColumn("_from", F.col("_head") + F.col("_in")).withColumn("_ideal", F.greatest(F.expr(f"_all div {parts}"), F.lit(1)))
+    last = F.lit(parts - 1).cast("long")
+    x = x.withColumn("part", F.explode(F.sequence(F.least(F.expr("_from div _ideal"), last), F.least(F.expr("(_from + _size - 1) div _ideal"), last))))
+    begin = F.greatest(F.col("part") * F.col("_ideal") - F.col("_from"), F.lit(0))
+    end = F.when(F.col("part") == last, F.col("_size")).otherwise(F.least((F.col("part") + 1) * F.col("_ideal") - F.col("_from"), F.col("_size")))
+    return x.select("contig", (F.col("start") + begin).cast("int").alias("start"), (F.col("start") + end - 1).cast("int").alias("stop"), F.col("part").cast("int").alias("part"))
+
+
 def n_runs(reference: DataFrame, shortest: int = 1) -> DataFrame:
     """Runs of N and of other bases in a chunked reference: runs of each chunk, joined over chunk borders."""
     found = F.expr(

@@ -45,12 +45,26 @@ def coordinate_order(reads: DataFrame) -> list[Column]:
     return [F.when(R.has(R.UNMAPPED), 2147483647).otherwise(F.col("contig")), F.col("pos"), R.has(R.REVERSE), F.col("name"), F.col("flags"), F.col("idx")]
 
 
+def coordinate_bucket(width: int = 16_384) -> Column:
+    """A coarse key within a contig that goes with ``coordinate_order``: unmapped records last, then stretches of ``width`` bases."""
+    return F.when(R.has(R.UNMAPPED), F.lit(1 << 40)).otherwise(F.lit(0).cast("long")) + F.floor(F.col("pos") / width)
+
+
 def queryname_order(reads: DataFrame) -> list[Column]:
     return [F.col("name"), R.has(R.PAIRED), R.has(R.SECOND), R.has(R.SECONDARY) | R.has(R.SUPPLEMENTARY), F.col("idx")]
 
 
-def ranked(df: DataFrame, order: list[Column], group: str) -> DataFrame:
-    """Position of a row in a total order within a group (from 1). A whole-table order is a range-partitioned sort; see ``sorted_records``."""
+def ranked(df: DataFrame, order: list[Column], group: str, bucket: Column | None = None) -> DataFrame:
+    """Position of a row in a total order within a group (from 1). A whole-table order is a range-partitioned sort; see ``sorted_records``.
+
+    ``bucket`` is a coarse key that goes with the order, such as a position by some thousands: rows are ranked within it and the rows of buckets before are added, so that no task holds a whole group.
+    """
+    if bucket is not None:
+        x = df.withColumn("_bucket", bucket)
+        before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        heads = x.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        x = x.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
+        return x.join(heads, [group, "_bucket"]).withColumn("rank", (F.col("_before") + F.col("_k")).cast("long")).drop("_bucket", "_before", "_k")
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
 
 

@@ -44,14 +44,14 @@ def file_names_by_library(reads: DataFrame) -> DataFrame:
     return reads.withColumn("file", F.coalesce(F.regexp_replace("library", r"[^A-Za-z0-9_.-]", "_"), F.lit("unknown")))
 
 
-def numbered_records(rows: DataFrame, key: str, of: list[str] | None = None, buckets: int = 1024) -> DataFrame:
-    """Add ``ordinal``, the gapless number of a row from 0 in order of the numeric ``key`` (in each group). Rows are numbered within ranges of the key, whose totals are summed up first, so that no task holds all."""
+def numbered_records(rows: DataFrame, key: str, of: list[str] | None = None, buckets: int = 1024, ties: list[str] | None = None) -> DataFrame:
+    """Add ``ordinal``, the gapless number of a row from 0 in order of the numeric ``key``, then ``ties`` (in each group). Rows are numbered within ranges of the key, whose totals are summed up first, so that no task holds all."""
     of = of or []
     ends = rows.agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
     x = rows.crossJoin(F.broadcast(ends)).withColumn("_bucket", F.floor((F.col(key) - F.col("_a")) / ((F.col("_b") - F.col("_a")) / F.lit(buckets) + 1)).cast("int"))
     heads = x.groupBy(*of, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     heads = heads.select(*of, "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy(*of).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    x = x.withColumn("_k", F.row_number().over(Window.partitionBy(*of, "_bucket").orderBy(key)))
+    x = x.withColumn("_k", F.row_number().over(Window.partitionBy(*of, "_bucket").orderBy(key, *(ties or []))))
     return x.join(heads, [*of, "_bucket"]).withColumn("ordinal", (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_a", "_b", "_bucket", "_before", "_k")
 
 

@@ -83,6 +83,25 @@ def _(t):
     return I.bands(t.intervals, 50)
 
 
+ORDINAL = "WITH o AS (SELECT *, row_number() OVER (ORDER BY contig, start, stop, name) - 1 AS o, count(*) OVER () AS c FROM intervals)"
+
+
+@query("intervals_scatter_count", f"{ORDINAL} SELECT contig, start, stop, name, strand, idx, CAST(least(o // (c // 7), 6) AS INT) AS part FROM o", "intervals")
+def _(t):
+    return I.scatter_by_count(t.intervals, 7)
+
+
+@query("intervals_scatter_spread", f"{ORDINAL} SELECT contig, start, stop, name, strand, idx, CAST(CASE WHEN o < (c % 7) * (c // 7 + 1) THEN o // (c // 7 + 1) ELSE c % 7 + (o - (c % 7) * (c // 7 + 1)) // (c // 7) END AS INT) AS part FROM o", "intervals")
+def _(t):
+    return I.scatter_by_count(t.intervals, 7, spread=True)
+
+
+@query("intervals_scatter_subdivided", """WITH p AS (SELECT DISTINCT contig, CAST(unnest(range(start, stop + 1)) AS INT) AS p FROM intervals), q AS (SELECT *, row_number() OVER (ORDER BY contig, p) - 1 AS o, count(*) OVER () AS c FROM p), r AS (SELECT contig, p, least(o // (c // 7), 6) AS part FROM q),
+ g AS (SELECT *, p - row_number() OVER (PARTITION BY contig, part ORDER BY p) AS run FROM r) SELECT contig, min(p) AS start, max(p) AS stop, CAST(part AS INT) AS part FROM g GROUP BY contig, part, run""", "intervals")
+def _(t):
+    return I.scatter_subdivided(t.intervals, 7)
+
+
 @query("intervals_scatter", "SELECT contig, start, stop, name, CAST(least((sum(stop - start + 1) OVER (ORDER BY contig, start, stop, name ROWS UNBOUNDED PRECEDING) - (stop - start + 1)) * 10 // (SELECT sum(stop - start + 1) FROM intervals), 9) AS INT) AS part FROM intervals", "intervals")
 def _(t):
     return I.scatter(t.intervals, 10)

@@ -62,7 +62,7 @@ def _(t):
 
 @query("sort_coordinate_rank", f"SELECT idx, {n('row_number() OVER (PARTITION BY contig ORDER BY CASE WHEN flags & 4 <> 0 THEN 2147483647 ELSE contig END, pos, flags & 16 <> 0, name, flags, idx)')} AS rank FROM reads", "reads")
 def _(t):
-    return X.ranked(t.reads, X.coordinate_order(t.reads), "contig").select("idx", "rank")
+    return X.ranked(t.reads, X.coordinate_order(t.reads), "contig", X.coordinate_bucket()).select("idx", "rank")
 
 
 @query("sort_queryname_rank", f"SELECT idx, {n('row_number() OVER (PARTITION BY rg ORDER BY name, flags & 1 <> 0, flags & 128 <> 0, flags & 2304 <> 0, idx)')} AS rank FROM reads", "reads")
