@@ -635,3 +635,53 @@ def test_cosine_hash_is_of_low_frequencies():
     bits = lambda b: int.from_bytes(b, "big")
     h = [bits(media.cosine_hash(i)) for i in (smooth, noisy, other)]
     assert (h[0] ^ h[1]).bit_count() < 16 < (h[0] ^ h[2]).bit_count()
+
+
+@pytest.mark.parametrize("height", [1, 5, 32, 100])
+def test_cosine_hash_equals_a_direct_transform(height):
+    x = np.random.default_rng(height).integers(0, 256, (height, 64), dtype=np.uint8)
+
+    def cell(k, n):
+        a, b = k * n // 32, (k + 1) * n // 32
+        return range(a, b) if n >= 32 else [a]
+
+    grid = [[np.mean([float(x[i, j]) for i in cell(r, height) for j in cell(c, 64)]) for c in range(32)] for r in range(32)]
+    terms = []
+    for u in range(8):
+        for v in range(8):
+            terms.append(round(sum(grid[r][c] * np.cos(np.pi * (2 * r + 1) * u / 64) * np.cos(np.pi * (2 * c + 1) * v / 64) for r in range(32) for c in range(32)), 6))
+    middle = np.median(terms[1:])
+    direct = "".join("1" if t > middle else "0" for t in terms)
+    got = f"{int.from_bytes(media.cosine_hash(x), 'big'):064b}"
+    unsure = [i for i, t in enumerate(terms) if abs(t - middle) < 1e-5]
+    assert all(got[i] == direct[i] for i in range(64) if i not in unsure)
+
+
+def test_media_takes_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "text", 5, "x", 2.0), (1, "text", 6, "y", None)], "doc_id long, text string, id int, media string, n_bytes double")
+    rows = media.media_features(df).collect()
+    assert len(rows) == 2 and {(r.doc_id, r.n_bytes, r.payload_bytes) for r in rows} == {(1, 4, 64)}
+
+
+def test_shards_equal_brute_force(spark):
+    """The descent recomputed in Python: XXH64 of node and key, exponential draws, the smallest wins."""
+    import math
+
+    def draw(key, node, weight):
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(node.encode(), 42))
+        h -= (h >> 63) << 64
+        return -math.log(((h >> 11) + 2.0**52 + 0.5) / 2.0**53) / weight
+
+    def descend(key, leaves, path, names):
+        if not names:
+            return leaves[0].shard
+        groups = {}
+        for leaf in leaves:
+            groups.setdefault(str(getattr(leaf, names[0])), []).append(leaf)
+        best = min(groups, key=lambda g: draw(key, f"{path}/{g}", sum(x.weight for x in groups[g]))) if len(groups) > 1 else next(iter(groups))
+        return descend(key, groups[best], f"{path}/{best}", names[1:])
+
+    docs = spark.range(-50, 2000).select(sharding.F.col("id").alias("doc_id"), sharding.F.lit("t").alias("text"))
+    for r in sharding.shard_rows(docs, sharding.layout(16), sharding.layout(17)).collect():
+        assert r.shard == descend(r.doc_id, sharding.layout(16), "", ("region", "rack", "shard"))
+        assert r.grown_shard == descend(r.doc_id, sharding.layout(17), "", ("region", "rack", "shard"))
