@@ -170,6 +170,36 @@ def alignment_summary(reads: DataFrame, keys: list[str] | None = None, max_inser
     )
 
 
+def alignment_errors(reads: DataFrame, reference: DataFrame, high_quality: int = 20, bad_share: float = 0.8) -> DataFrame:
+    """What ``alignment_summary`` lacks without a reference, by category: mismatch rates, bases of high quality, the median of mismatches in well-mapped records, and bad cycles.
+
+    A mismatch is a base that isn't the reference's, N included. A cycle is bad if in at least ``bad_share`` of all records it is no call or a mismatch; in aligned records the offset within the aligned block counts as the place
+    in the read there, so places of two blocks can fall together. Bad cycles of pairs are those of both ends. Bases are reduced to a row a record, and to counts by cycle, before anything is joined.
+    """
+    from .pileup import aligned_to_reference
+
+    r = primary_reads(reads).withColumn("category", F.when(~R.has(R.PAIRED), "UNPAIRED").when(R.has(R.FIRST), "FIRST_OF_PAIR").otherwise("SECOND_OF_PAIR"))
+    used = ~R.has(R.QC_FAIL) & ~R.has(R.UNMAPPED)
+    x = aligned_to_reference(r.filter(used).withColumn("ops", R.cigar_ops()).withColumn("n", F.length("bases")), reference, "category", "mapq", "flags", "n")
+    wrong, hq = F.upper("base") != F.col("ref"), F.col("mapq") >= high_quality
+    by_read = x.groupBy("category", "idx").agg(F.count(F.lit(1)).alias("bases"), R.count_true(hq).alias("hq_bases"), R.count_true(wrong).alias("wrong"), R.count_true(wrong & hq).alias("hq_wrong"), R.count_true(hq & (F.col("quality") >= 20)).alias("q20"))
+    both = F.when(F.col("category") == "UNPAIRED", F.array(F.col("category"))).otherwise(F.array(F.col("category"), F.lit("PAIR")))
+    hist = by_read.groupBy("category", "hq_wrong").agg(F.count(F.lit(1)).alias("reads"), *(F.sum(c).alias(c) for c in ("bases", "hq_bases", "wrong", "q20")), F.sum("hq_wrong").alias("hq_sum")).withColumn("category", F.explode(both))
+    f = F.col
+    rates = hist.groupBy("category").agg(
+        R.rounded(R.guarded(F.sum("wrong"), F.sum("bases"))).alias("pf_mismatch_rate"), R.rounded(R.guarded(F.sum("hq_sum"), F.sum("hq_bases"))).alias("pf_hq_error_rate"), F.sum("q20").cast("long").alias("pf_hq_aligned_q20_bases"), F.expr("percentile(hq_wrong, 0.5, reads)").alias("pf_hq_median_mismatches"),
+    )
+    back = R.has(R.REVERSE)
+    aligned = x.filter(wrong | f("base").isin("N", "n", ".")).groupBy("category", F.when(back, f("n") - f("block_offset")).otherwise(f("block_offset") + 1).alias("cycle")).agg(F.count(F.lit(1)).alias("c"))
+    calls = r.filter(~used & F.col("bases").rlike("[Nn.]")).select("category", "flags", F.length("bases").alias("n"), F.posexplode(F.split("bases", "")).alias("i", "base")).filter(f("base").isin("N", "n", "."))
+    others = calls.groupBy("category", F.when(back, f("n") - f("i")).otherwise(f("i") + 1).alias("cycle")).agg(F.count(F.lit(1)).alias("c"))
+    total = r.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
+    bad = aligned.unionByName(others).groupBy("category", "cycle").agg(F.sum("c").alias("c")).join(total, "category").filter(f("c") >= f("total") * bad_share)
+    bad = bad.withColumn("category", F.explode(both)).groupBy("category").agg(F.count(F.lit(1)).alias("bad_cycles"))
+    every = total.withColumn("category", F.explode(both)).select("category").distinct()
+    return every.join(rates, "category", "left").join(bad, "category", "left").fillna(0, ["pf_mismatch_rate", "pf_hq_error_rate", "pf_hq_aligned_q20_bases", "pf_hq_median_mismatches", "bad_cycles"])
+
+
 def read_length_histogram(reads: DataFrame) -> DataFrame:
     return primary_reads(reads).groupBy(F.size("quals").alias("length"), R.has(R.UNMAPPED).alias("unmapped")).agg(F.count(F.lit(1)).alias("reads"))
 

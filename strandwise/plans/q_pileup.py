@@ -170,6 +170,24 @@ def _(t):
 
 
 FLOOR = lambda a, b: f"greatest(CASE WHEN ({b}) = 0 THEN 1e-10 ELSE CAST({a} AS DOUBLE) / ({b}) END, 1e-10)"
+CAT = "CASE WHEN flags & 1 = 0 THEN 'UNPAIRED' WHEN flags & 64 <> 0 THEN 'FIRST_OF_PAIR' ELSE 'SECOND_OF_PAIR' END"
+EACH = "unnest(CASE WHEN category = 'UNPAIRED' THEN [category] ELSE [category, 'PAIR'] END)"
+
+
+@query("alignment_errors", f"""WITH {BLOCKS}, ab AS (SELECT r.*, CAST(o AS INT) AS o, read_start + CAST(o AS INT) AS off, ref_start + CAST(o AS INT) AS p FROM (SELECT *, unnest(range(0, blen)) AS o FROM blocks) b JOIN reads r USING (idx) WHERE flags & 2820 = 0),
+ x AS (SELECT idx, {CAT} AS category, mapq >= 20 AS hq, quals[off + 1] >= 20 AS q20, substr(bases, off + 1, 1) <> {REF('p')} AS wrong, substr(bases, off + 1, 1) = 'N' AS nocall, CASE WHEN flags & 16 <> 0 THEN len - o ELSE o + 1 END AS cycle FROM ab WHERE p <= {LENGTH}),
+ br AS (SELECT category, idx, count(*) AS bases, count(*) FILTER (hq) AS hqb, count(*) FILTER (wrong) AS wrong, count(*) FILTER (wrong AND hq) AS hqw, count(*) FILTER (hq AND q20) AS q20 FROM x GROUP BY ALL), b2 AS (SELECT {EACH} AS category, bases, hqb, wrong, hqw, q20 FROM br),
+ rates AS (SELECT category, {r('sum(wrong) / sum(bases)')} AS pf_mismatch_rate, {r('sum(hqw) / sum(hqb)')} AS pf_hq_error_rate, {n('sum(q20)')} AS pf_hq_aligned_q20_bases, CAST(quantile_cont(hqw, 0.5) AS DOUBLE) AS pf_hq_median_mismatches FROM b2 GROUP BY category),
+ rr AS (SELECT *, {CAT} AS category FROM reads WHERE flags & 2304 = 0), total AS (SELECT category, count(*) AS total FROM rr GROUP BY category),
+ un AS (SELECT category, CASE WHEN flags & 16 <> 0 THEN len - i ELSE i + 1 END AS cycle FROM (SELECT *, CAST(unnest(range(0, len)) AS INT) AS i FROM rr WHERE flags & 516 <> 0) z WHERE substr(bases, i + 1, 1) = 'N'),
+ cyc AS (SELECT category, cycle, count(*) AS c FROM (SELECT category, cycle FROM x WHERE wrong OR nocall UNION ALL SELECT * FROM un) GROUP BY ALL), bad AS (SELECT category FROM cyc JOIN total USING (category) WHERE c >= total * 0.8), bad2 AS (SELECT {EACH} AS category FROM bad), bc AS (SELECT category, {n('count(*)')} AS bad_cycles FROM bad2 GROUP BY 1)
+ SELECT rates.*, coalesce(bad_cycles, 0) AS bad_cycles FROM rates LEFT JOIN bc USING (category)""", "reads")
+def _(t):
+    from ..operators import qc
+
+    return qc.alignment_errors(t.solid_reads, t.reference)
+
+
 RATES = f"""{WITH_REF}, c AS (SELECT context, base, (flags & 128 = 0) = (flags & 16 = 0) AS fits, count(*) AS n FROM x WHERE quality >= 20 AND base <> 'N' AND context IS NOT NULL AND context NOT LIKE '%N%' GROUP BY ALL),
  o AS (SELECT context, base AS called, fits AS pro, true AS fwd, n FROM c UNION ALL SELECT translate(reverse(context), 'ACGT', 'TGCA'), translate(base, 'ACGT', 'TGCA'), NOT fits, false, n FROM c),
  s AS (SELECT context, called, coalesce(sum(n) FILTER (pro), 0) AS pro, coalesce(sum(n) FILTER (NOT pro), 0) AS con, coalesce(sum(n) FILTER (fwd), 0) AS f, coalesce(sum(n) FILTER (NOT fwd), 0) AS r FROM o GROUP BY ALL),

@@ -70,3 +70,22 @@ def test_genes_of_any_number_of_exons(spark, tmp_path):
     genes = text.read_refflat(spark, str(tmp_path / "r.txt")).join(spark.createDataFrame([(1, "chr1")], "contig int, contig_name string"), "contig_name")
     got = sorted((r.start, r.stop, r.rank) for r in annotation.features(genes).collect())
     assert got == [(100, 150, 2), (100, 500, 1), (150, 150, 3), (200, 300, 2), (200, 300, 3), (400, 420, 3), (400, 500, 2)]
+
+
+def test_bad_cycles_by_block_offset(spark):
+    """Mismatches at read places 3 and 13 of 10M5D10M share a block offset and are one bad cycle; at 3 and 15 they are two."""
+    reference = spark.createDataFrame([(0, 0, 1, "A" * 60)], "contig int, chunk long, start int, bases string")
+    row = lambda bad: [(1, "q", 0, 0, 1, 60, "10M5D10M", "".join("C" if i in bad else "A" for i in range(20)), [30] * 20)]
+    schema = "idx long, name string, flags int, contig int, pos int, mapq int, cigar string, bases string, quals array<int>"
+    for bad, cycles in (((3, 13), 1), ((3, 15), 2)):
+        got = qc.alignment_errors(spark.createDataFrame(row(bad), schema), reference).collect()
+        assert [(r.category, r.bad_cycles, r.pf_hq_median_mismatches, r.pf_mismatch_rate, r.pf_hq_aligned_q20_bases) for r in got] == [("UNPAIRED", cycles, 2.0, 0.1, 20)]
+
+
+def test_a_repeated_adapter_is_found_at_its_last_place(spark):
+    from strandwise.operators import records
+
+    rows = [(1, "ACGTAGATCGGAACGTAGATCGGA"), (2, "AGATCGGAACCC"), (3, "CCCCCCCCCC"), (4, "AG"), (5, "CCCCCCAGATCGTA")]
+    got = {r.idx: r.adapter_start for r in records.adapter_start(spark.createDataFrame(rows, "idx long, bases string"), "AGATCGGAAG", least=6).collect()}
+    assert got == {1: 16, 2: 0, 3: None, 4: None, 5: None}
+    assert records.adapter_start(spark.createDataFrame([(1, "CCAGATCGTAAGCC")], "idx long, bases string"), "AGATCGNAAG", least=6, max_error=0.0).collect()[0].adapter_start == 2
