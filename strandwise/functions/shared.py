@@ -1,11 +1,21 @@
-"""Folders that the driver and all executors share."""
+"""What the driver and all executors share: folders, and this package's code."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from its install path (or from --py-files, where that path is absent)."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that checkpoints have a folder: spark.checkpoint.dir; a temporary one only in local mode with none set."""

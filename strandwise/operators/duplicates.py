@@ -255,7 +255,7 @@ def library_complexity(reads: DataFrame, prefix: int = 5, max_diff: float = 0.03
     """
     import pandas as pd
 
-    from ..llm.work import ship
+    from ..functions.shared import ship
 
     ship(reads.sparkSession)
     p = sequenced_pairs(reads, prefix, min_mean_quality).groupBy("library", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"))

@@ -12,7 +12,6 @@ from strandwise.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = [k for k in catalog.ORACLE_SQL if k.startswith("error_by_")][4:]  # the same plan with other expressions
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +35,6 @@ def rows(df):
     return sorted(tuple(map(cell, r)) for r in df.astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - set(SLOW)))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, db, name):
     assert rows(catalog.QUERIES[name](spark, SMALL).toPandas()) == rows(db.execute(catalog.ORACLE_SQL[name]).fetchdf())
