@@ -118,6 +118,16 @@ def demultiplex(clusters: DataFrame, barcodes: DataFrame, max_mismatches: int =
     return x.groupBy("assigned").agg(F.sum("reads").cast("long").alias("reads"), F.sum("pf_reads").cast("long").alias("pf_reads"), R.sum_if(F.col("perfect") & (F.col("assigned") != "NNNN"), F.col("reads")).alias("perfect_matches"))
 
 
+def basecalling_metrics(clusters: DataFrame) -> DataFrame:
+    """By lane and barcode: clusters and bases, all and passing, and mean and spread over tiles. Clusters are (lane, tile, barcode, pf, bases); tiles are totalled first."""
+    f, c = F.col, R.count_true
+    tile = clusters.groupBy("lane", "barcode", "tile").agg(F.count(F.lit(1)).alias("n"), c(f("pf")).alias("pf"), F.sum("bases").alias("b"), R.sum_if(f("pf"), f("bases")).alias("pb"))
+    return tile.groupBy("lane", "barcode").agg(
+        F.sum("n").cast("long").alias("total_clusters"), F.sum("pf").cast("long").alias("pf_clusters"), F.sum("b").cast("long").alias("total_bases"), F.sum("pb").cast("long").alias("pf_bases"), R.rounded(F.avg("n"), 4).alias("mean_clusters_per_tile"),
+        R.rounded(F.stddev_samp("n"), 4).alias("sd_clusters_per_tile"), R.rounded(F.avg(100.0 * f("pf") / f("n")), 4).alias("mean_pct_pf_clusters_per_tile"), R.rounded(F.avg("pf"), 4).alias("mean_pf_clusters_per_tile"),
+    )
+
+
 def lane_metrics(clusters: DataFrame) -> DataFrame:
     """Clusters and passing ones by tile, then by lane: totals, mean and spread over tiles."""
     tile = clusters.groupBy("lane", "tile").agg(F.count(F.lit(1)).alias("n"), R.count_true(F.col("pf")).alias("pf"))

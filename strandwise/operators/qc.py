@@ -200,6 +200,14 @@ def alignment_errors(reads: DataFrame, reference: DataFrame, high_quality: int =
     return every.join(rates, "category", "left").join(bad, "category", "left").fillna(0, ["pf_mismatch_rate", "pf_hq_error_rate", "pf_hq_aligned_q20_bases", "pf_hq_median_mismatches", "bad_cycles"])
 
 
+def multiple_metrics(reads: DataFrame, programs: tuple[str, ...] = ("alignment_summary", "insert_size_stats", "base_distribution_by_cycle", "quality_distribution", "mean_quality_by_cycle", "quality_yield")) -> dict[str, DataFrame]:
+    """Several programs of this module on the same records, by their names, each lazily: keep ``reads`` stored or cached so that they are read, not made, for each."""
+    known = globals()
+    if unknown := [p for p in programs if not callable(known.get(p)) or p.startswith("_")]:
+        raise ValueError(f"unknown programs {unknown}")
+    return {p: known[p](reads) for p in programs}
+
+
 def read_length_histogram(reads: DataFrame) -> DataFrame:
     return primary_reads(reads).groupBy(F.size("quals").alias("length"), R.has(R.UNMAPPED).alias("unmapped")).agg(F.count(F.lit(1)).alias("reads"))
 

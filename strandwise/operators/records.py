@@ -167,8 +167,8 @@ def adapter_start(reads: DataFrame, adapter: str, least: int = 4, max_error: flo
 
 
 def checksum(reads: DataFrame) -> DataFrame:
-    """An order-free digest of the records of each read group."""
-    return reads.groupBy("rg").agg(F.count(F.lit(1)).alias("records"), F.expr("bit_xor(crc32(concat_ws('|', name, cast(flags as string), bases)))").alias("checksum"))
+    """An order-free digest of the records of each read group: the first 60 bits of each record's MD5, joined by exclusive or."""
+    return reads.groupBy("rg").agg(F.count(F.lit(1)).alias("records"), F.expr("bit_xor(cast(conv(substr(md5(concat_ws('|', name, cast(flags as string), bases)), 1, 15), 16, 10) as long))").alias("checksum"))
 
 
 def downsample_hash(reads: DataFrame, probability: float) -> DataFrame:

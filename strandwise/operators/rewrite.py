@@ -62,6 +62,11 @@ def files_by_number(reads: DataFrame, per_file: int, order: str = "idx") -> Data
     return x.join(first, "name").withColumn("file", (F.floor(F.col("_first") / per_file) + 1).cast("long")).drop("_first", "ordinal")
 
 
+def gathered_records(inputs: list[DataFrame]) -> DataFrame:
+    """Records of inputs that follow each other, one after the other, as they are; their dictionaries must be the same. ``input`` and ``idx`` give the order."""
+    return reduce(DataFrame.unionByName, [x.withColumn("input", F.lit(i)) for i, x in enumerate(inputs)])
+
+
 def index_stats(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """By contig: its length, mapped records, and unmapped ones placed there."""
     c = reads.groupBy("contig").agg(R.count_true(~R.has(R.UNMAPPED)).alias("aligned"), R.count_true(R.has(R.UNMAPPED)).alias("unaligned"))

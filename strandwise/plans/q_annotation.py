@@ -80,6 +80,12 @@ def _(t):
     return A.lane_metrics(t.reads.select((F.col("contig") % 8).alias("lane"), "tile", (F.col("flags").bitwiseAND(F.lit(512)) == 0).alias("pf")))
 
 
+@query("basecalling_metrics", f"""WITH t AS (SELECT contig % 8 AS lane, umi AS barcode, tile, count(*) AS c, count(*) FILTER (flags & 512 = 0) AS pf, sum(len) AS b, coalesce(sum(len) FILTER (flags & 512 = 0), 0) AS pb FROM reads GROUP BY ALL)
+ SELECT lane, barcode, {n('sum(c)')} AS total_clusters, {n('sum(pf)')} AS pf_clusters, {n('sum(b)')} AS total_bases, {n('sum(pb)')} AS pf_bases, {r('avg(c)', 4)} AS mean_clusters_per_tile, {r('stddev_samp(c)', 4)} AS sd_clusters_per_tile, {r('avg(100.0::DOUBLE * pf / c)', 4)} AS mean_pct_pf_clusters_per_tile, {r('avg(pf)', 4)} AS mean_pf_clusters_per_tile FROM t GROUP BY lane, barcode""", "reads")
+def _(t):
+    return A.basecalling_metrics(t.reads.select((F.col("contig") % 8).alias("lane"), "tile", F.col("umi").alias("barcode"), (F.col("flags").bitwiseAND(F.lit(512)) == 0).alias("pf"), F.col("len").alias("bases")))
+
+
 @query("basecall_bytes", f"SELECT CASE WHEN b = 0 THEN '.' ELSE substr('ACGT', b & 3 + 1, 1) END AS base, CASE WHEN b = 0 THEN 2 ELSE b >> 2 END AS quality, {n('count(*)')} AS calls FROM (SELECT CAST((l_partkey * 7 + l_linenumber) % 160 AS INT) AS b FROM lineitem) x GROUP BY ALL".replace("b & 3 + 1", "(b & 3) + 1"))
 def _(t):
     calls = t.lineitem.select(((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 160).cast("int").alias("byte"))

@@ -137,7 +137,7 @@ def _(t):
     return X.adapter_start(t.reads, "TGGCATGG").fillna(-1)
 
 
-@query("read_group_checksum")
+@query("read_group_checksum", f"SELECT rg, {n('count(*)')} AS records, bit_xor(CAST('0x' || substr(md5(name || '|' || flags || '|' || bases), 1, 15) AS BIGINT)) AS checksum FROM reads GROUP BY rg", "reads")
 def _(t):
     return X.checksum(t.reads)
 

@@ -59,6 +59,11 @@ def _(t):
     return W.files_by_number(t.reads.select("idx", "name"), 7000).select("idx", "file")
 
 
+@query("gather_bam", "SELECT idx, name, CASE WHEN mapq < 20 THEN 0 WHEN mapq < 40 THEN 1 ELSE 2 END AS input FROM reads", "reads")
+def _(t):
+    return W.gathered_records([t.reads.filter("mapq < 20"), t.reads.filter("mapq >= 20 and mapq < 40"), t.reads.filter("mapq >= 40")]).select("idx", "name", "input")
+
+
 @query("bam_index_stats", f"SELECT contig_name, length, {n('count(r.idx) FILTER (flags & 4 = 0)')} AS aligned, {n('count(r.idx) FILTER (flags & 4 <> 0)')} AS unaligned FROM contigs c LEFT JOIN reads r USING (contig) GROUP BY ALL", "reads", "contigs")
 def _(t):
     return W.index_stats(t.reads, t.contigs)

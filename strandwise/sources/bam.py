@@ -33,21 +33,34 @@ def inflate(path: str) -> Iterator[bytes]:
             yield data
 
 
+def terminator(path: str) -> str:
+    """Whether a BGZF file ends with the empty block that says it is whole: HAS_TERMINATOR_BLOCK; if not, whether its last block is: HAS_HEALTHY_LAST_BLOCK, else DEFECTIVE."""
+    with open(path, "rb") as f:
+        f.seek(0, os.SEEK_END)
+        size = f.tell()
+        f.seek(max(0, size - len(_EOF)))
+        if f.read() == _EOF:
+            return "HAS_TERMINATOR_BLOCK"
+        f.seek(max(0, size - 65536))
+        tail = f.read()
+    start = tail.rfind(b"\x1f\x8b\x08\x04")
+    while start >= 0:
+        if len(tail) >= start + 18 and struct.unpack("<H", tail[start + 16 : start + 18])[0] + 1 == len(tail) - start:
+            return "HAS_HEALTHY_LAST_BLOCK"
+        start = tail.rfind(b"\x1f\x8b\x08\x04", 0, start + 3)
+    return "DEFECTIVE"
+
+
 def _records(path: str) -> Iterator[tuple]:
-    blocks, held = inflate(path), b""
+    blocks, held, used = inflate(path), b"", 0
 
     def take(n: int) -> bytes:
-        nonlocal held
-        parts = [held]
-        have = len(held)
-        while have < n:
-            piece = next(blocks, None)
-            if piece is None:
-                break
-            parts.append(piece)
-            have += len(piece)
-        held = b"".join(parts)
-        out, held = held[:n], held[n:]
+        """The next ``n`` bytes, fewer at the end of the file; what is left of a block is copied only where a field crosses its end."""
+        nonlocal held, used
+        while len(held) - used < n and (piece := next(blocks, None)) is not None:
+            held, used = held[used:] + piece, 0
+        out = held[used : used + n]
+        used += len(out)
         return out
 
     if take(4) != b"BAM\1":

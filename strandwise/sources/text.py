@@ -173,6 +173,14 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return x.select("idx", _field(0, "contig_name"), _field(1, "pos", "int"), _field(2, "id"), _field(3, "ref"), F.when(F.col("f")[4] == ".", "").otherwise(F.col("f")[4]).alias("alts"), F.when(F.col("f")[5] != ".", F.col("f")[5]).cast("double").alias("qual"), F.expr("filter(split(f[6], ';'), x -> x not in ('.', 'PASS', ''))").alias("filters"), info.alias("info"), g.alias("genotypes"))
 
 
+def vcf_sample_map(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, file) for each sample of each VCF file of a path; a file of other than one sample, or a sample of two files, is an error."""
+    heads = spark.read.text(path).select(F.input_file_name().alias("file"), "value").filter(F.startswith("value", F.lit("#CHROM"))).select("file", F.slice(F.split("value", "\t"), 10, 1_000_000_000).alias("s"))
+    one = heads.select("file", F.when(F.size("s") == 1, F.col("s")[0]).otherwise(F.raise_error(F.concat(F.lit("not one sample in "), F.col("file")))).alias("sample"))
+    files = one.groupBy("sample").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("n"))
+    return files.select("sample", F.when(F.col("n") == 1, F.col("file")).otherwise(F.raise_error(F.concat(F.lit("several files of "), F.col("sample")))).alias("file"))
+
+
 def canonical_variants(v: DataFrame, contigs: DataFrame) -> DataFrame:
     """Rows of ``read_vcf`` with the columns that the variant operators ask for: k, contig, filtered, in_dbsnp (the site has an id), dp, fs and qd from INFO, and calls, an array of (sample, a, b, gq, dp, ad): alleles a <= b,
     null where missing, a haploid call twice, ad of the first alternative. Any number of samples."""

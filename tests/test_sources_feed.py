@@ -89,3 +89,65 @@ def test_a_repeated_adapter_is_found_at_its_last_place(spark):
     got = {r.idx: r.adapter_start for r in records.adapter_start(spark.createDataFrame(rows, "idx long, bases string"), "AGATCGGAAG", least=6).collect()}
     assert got == {1: 16, 2: 0, 3: None, 4: None, 5: None}
     assert records.adapter_start(spark.createDataFrame([(1, "CCAGATCGTAAGCC")], "idx long, bases string"), "AGATCGNAAG", least=6, max_error=0.0).collect()[0].adapter_start == 2
+
+
+def test_terminators(tmp_path):
+    whole = bam.encode([], [("c", 10)])
+    for name, data, want in (("a", whole, "HAS_TERMINATOR_BLOCK"), ("b", whole[:-28], "HAS_HEALTHY_LAST_BLOCK"), ("c", whole[:-40], "DEFECTIVE"), ("d", b"", "DEFECTIVE")):
+        (tmp_path / name).write_bytes(data)
+        assert bam.terminator(str(tmp_path / name)) == want
+
+
+def test_sample_map(spark, tmp_path):
+    import pytest
+
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    for name in ("s1", "s2"):
+        (tmp_path / f"{name}.vcf").write_text(head + name + "\n")
+    assert {r.sample: r.file.rsplit("/", 1)[1] for r in text.vcf_sample_map(spark, str(tmp_path)).collect()} == {"s1": "s1.vcf", "s2": "s2.vcf"}
+    (tmp_path / "again.vcf").write_text(head + "s1\n")
+    with pytest.raises(Exception, match="several files of s1"):
+        text.vcf_sample_map(spark, str(tmp_path)).collect()
+
+
+def test_several_programs(spark, tmp_path):
+    (tmp_path / "a.sam").write_text(SAM)
+    got = qc.multiple_metrics(text.read_sam(spark, str(tmp_path / "a.sam")).cache())
+    assert {k: v.count() for k, v in got.items()} == {"alignment_summary": 4, "insert_size_stats": 1, "base_distribution_by_cycle": 20, "quality_distribution": 2, "mean_quality_by_cycle": 20, "quality_yield": 1}
+
+
+def test_duplicates_of_a_stream(spark, tmp_path):
+    from strandwise.streaming import events
+
+    rows = [(i, "l", 0, 100 + i // 3, 16 * (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "idx long, library string, contig int, pos int, flags int")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = events.stream_duplicates(stream, "3650 days").writeStream.format("memory").queryName("marks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("marks").select("library", "contig", "pos", "flags")
+    assert sorted(map(tuple, got.collect())) == sorted({r[1:] for r in rows})
+
+
+def test_gathered_variants_in_order(spark):
+    import pytest
+
+    from strandwise.operators import rewrite
+
+    v = spark.createDataFrame([(0, 5, 1), (0, 9, 2), (1, 2, 3)], "contig int, pos int, k int")
+    assert rewrite.gathered_variants([v.filter("contig = 0"), v.limit(0), v.filter("contig = 1")]).count() == 3
+    with pytest.raises(ValueError):
+        rewrite.gathered_variants([v.filter("contig = 1"), v.filter("contig = 0")])
+    assert [r.k for r in rewrite.merged_variants([v.filter("k = 3"), v.filter("k < 3")]).collect()] == [1, 2, 3]
+    f = spark.createDataFrame([(1, "b", 5), (2, "a", 9), (3, "a", 2), (4, "zz", 1)], "idx int, contig_name string, start int")
+    assert [r.idx for r in rewrite.sorted_features(f).collect()] == [3, 2, 1, 4]
+    d = spark.createDataFrame([(0, "b"), (1, "a")], "contig int, contig_name string")
+    assert [r.idx for r in rewrite.sorted_features(f, d).collect()] == [4, 1, 3, 2]
+
+
+def test_records_in_coordinate_order(spark):
+    from strandwise.operators import records
+
+    rows = [(1, "a", 0, 1, 50), (2, "b", 4, 0, 7), (3, "c", 16, 0, 9), (4, "c", 0, 0, 9), (5, "d", 0, 0, 3)]
+    r = spark.createDataFrame(rows, "idx long, name string, flags int, contig int, pos int")
+    assert [x.idx for x in records.sorted_records(r, records.coordinate_order(r)).collect()] == [5, 4, 3, 1, 2]
