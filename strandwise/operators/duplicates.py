@@ -20,11 +20,10 @@ def pairs(reads: DataFrame) -> DataFrame:
     A name with several first or second ends counts with those of the least ordinal.
     """
     e = ends(reads).filter(R.has(R.PAIRED) & ~R.has(R.MATE_UNMAPPED))
-    e = e.withColumn("is_first", R.has(R.FIRST))
-    once = Window.partitionBy("library", "name", "is_first").orderBy("idx")
-    e = e.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
     side = F.struct("contig", "five", R.has(R.REVERSE).alias("reverse"), "idx", "score", "tile", "x", "y", "rg")
-    t = e.groupBy("library", "name").agg(F.min(side).alias("a"), F.max(side).alias("b"), F.count(F.lit(1)).alias("n")).filter("n = 2")
+    end = lambda which: F.min_by(side, F.when(which, F.col("idx")))
+    t = e.groupBy("library", "name").agg(end(R.has(R.FIRST)).alias("f"), end(~R.has(R.FIRST)).alias("s")).filter("f is not null and s is not null")
+    t = t.select("library", "name", F.least("f", "s").alias("a"), F.greatest("f", "s").alias("b"))
     return t.select(
         "library", "name", F.col("a.contig").alias("c1"), F.col("a.five").alias("p1"), F.col("a.reverse").alias("r1"), F.col("b.contig").alias("c2"), F.col("b.five").alias("p2"), F.col("b.reverse").alias("r2"),
         (F.col("a.score") + F.col("b.score")).alias("score"), F.least("a.idx", "b.idx").alias("idx"), F.col("a.idx").alias("i1"), F.col("b.idx").alias("i2"), F.col("a.tile").alias("tile"), F.col("a.x").alias("x"), F.col("a.y").alias("y"), F.col("a.rg").alias("rg"),

@@ -86,12 +86,15 @@ def coverage_metrics(hist: DataFrame, thresholds: tuple[int, ...] = (1, 5, 10, 1
 
 
 def target_coverage(reads: DataFrame, targets: DataFrame, min_mapq: int = 20, width: int = 1000) -> DataFrame:
-    """Per target: length, bases on it, mean and extreme depth. Only bases on targets are exploded: blocks meet targets first."""
+    """Per target: length, bases on it, mean and extreme depth. Blocks meet targets first; each that does is a step up and a step down, which are summed by place before a target's depths are run through, so no base becomes a row."""
     from .intervals import overlaps
 
     b = kept_reads(reads, min_mapq).select("idx", "contig", F.explode(R.blocks()).alias("b")).select("contig", F.col("b.ref_start").alias("start"), (F.col("b.ref_start") + F.col("b.len") - 1).alias("stop"))
-    hit = overlaps(targets.select("contig", "start", "stop", "name"), b, width).select(F.col("a.name").alias("name"), F.explode(F.sequence(F.greatest("a.start", "b.start"), F.least("a.stop", "b.stop"))).alias("pos"))
-    depth = hit.groupBy("name", "pos").agg(F.count(F.lit(1)).alias("depth")).groupBy("name").agg(F.sum("depth").alias("bases"), F.max("depth").alias("max_depth"), F.count(F.lit(1)).alias("covered"))
+    hit = overlaps(targets.select("contig", "start", "stop", "name"), b, width).select(F.col("a.name").alias("name"), F.greatest("a.start", "b.start").alias("from"), (F.least("a.stop", "b.stop") + 1).alias("to"))
+    steps = hit.select("name", F.explode(F.array(F.struct(F.col("from").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("to").alias("pos"), F.lit(-1).alias("step")))).alias("e")).groupBy("name", "e.pos").agg(F.sum("e.step").alias("step"))
+    by = Window.partitionBy("name").orderBy("pos")
+    runs = steps.select("name", F.sum("step").over(by).alias("depth"), (F.lead("pos").over(by) - F.col("pos")).alias("n"))
+    depth = runs.filter("depth > 0").groupBy("name").agg(F.sum(F.col("depth") * F.col("n")).alias("bases"), F.max("depth").alias("max_depth"), F.sum("n").alias("covered"))
     t = targets.select("name", (F.col("stop") - F.col("start") + 1).cast("long").alias("length"))
     x = t.join(depth, "name", "left").fillna(0, ["bases", "max_depth", "covered"])
     return x.withColumn("mean_coverage", R.rounded(F.col("bases") / F.col("length")))

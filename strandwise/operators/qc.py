@@ -25,13 +25,15 @@ def _at_least(q: int) -> Column:
 
 def quality_yield(reads: DataFrame, keys: list[str] | None = None, secondary: bool = False, supplementary: bool = False, thresholds: tuple[int, ...] = (20, 30)) -> DataFrame:
     """Counts of reads and bases, all and passing filters, at quality thresholds; Q20 equivalents are the sum of qualities by 20, truncated. One pass, partial sums."""
-    ok = ~R.has(R.QC_FAIL)
-    bases, total = F.size("quals"), F.expr("aggregate(quals, 0L, (n, q) -> n + q)")
-    aggs = [F.count(F.lit(1)).alias("total_reads"), R.count_true(ok).alias("pf_reads"), F.sum(bases).cast("long").alias("total_bases"), R.sum_if(ok, bases).alias("pf_bases")]
-    for q in thresholds:
-        aggs += [F.sum(_at_least(q)).cast("long").alias(f"q{q}_bases"), R.sum_if(ok, _at_least(q)).alias(f"pf_q{q}_bases")]
-    aggs += [F.expr("sum(aggregate(quals, 0L, (n, q) -> n + q)) div 20").cast("long").alias("q20_equivalent_yield"), (R.sum_if(ok, total) / 20).cast("long").alias("pf_q20_equivalent_yield")]
-    rows = primary_reads(reads, secondary, supplementary).groupBy(*(keys or [])).agg(*aggs)
+    q, total = [f"_q{t}" for t in thresholds], F.expr("aggregate(quals, 0L, (n, q) -> n + q)")
+    # once a record, as every count is needed for all records and for those that pass
+    r = primary_reads(reads, secondary, supplementary).select(*(keys or []), (~R.has(R.QC_FAIL)).alias("_ok"), F.size("quals").alias("_n"), total.alias("_sum"), *(_at_least(t).alias(c) for t, c in zip(thresholds, q, strict=True)))
+    ok = F.col("_ok")
+    aggs = [F.count(F.lit(1)).alias("total_reads"), R.count_true(ok).alias("pf_reads"), F.sum("_n").cast("long").alias("total_bases"), R.sum_if(ok, F.col("_n")).alias("pf_bases")]
+    for t, c in zip(thresholds, q, strict=True):
+        aggs += [F.sum(c).cast("long").alias(f"q{t}_bases"), R.sum_if(ok, F.col(c)).alias(f"pf_q{t}_bases")]
+    aggs += [F.expr("sum(_sum) div 20").cast("long").alias("q20_equivalent_yield"), (R.sum_if(ok, F.col("_sum")) / 20).cast("long").alias("pf_q20_equivalent_yield")]
+    rows = r.groupBy(*(keys or [])).agg(*aggs)
     return rows.withColumn("read_length", F.expr("if(total_reads = 0, 0L, total_bases div total_reads)"))
 
 
@@ -58,12 +60,13 @@ def cycle_counts(reads: DataFrame) -> DataFrame:
         turn[list(b"ACGTacgt")] = list(b"TGCAtgca")
         for batch in batches:
             end, back = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            text = b"".join(x.as_py().encode() for x in batch.column(2))
-            sizes = np.array([len(x.as_py()) for x in batch.column(2)], np.int64)
+            strings = batch.column(2).cast(pa.binary())
+            edges = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+            sizes = np.diff(edges)
             values, spans = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(3).offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            base = np.frombuffer(text, np.uint8)
+            base = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
             base = np.where(back[owner], turn[base], base)
             cycle = np.where(back[owner], sizes[owner] - at, at + 1)
             known = at < spans[owner]
